@@ -53,7 +53,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(text: Column | str) -> Column:
     """Array of the words of a text; no words for null."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.coalesce(c, F.lit("")), SPACES, " " * len(SPACES)), " "), "")
 
 
 def squeezed(text: Column) -> Column:

@@ -58,7 +58,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"label": label, "gram": g.astype(np.int64), "n": n.astype(np.int64)})
 
 
-def fit(labelled: DataFrame, text: str, label: str, key: str, docs_per_label: int = 1500, grams_per_label: int = 100_000, max_labels: int = 256) -> Model:
+def fit(labelled: DataFrame, text: str, label: str, key: str, docs_per_label: int = 1500, grams_per_label: int = 50_000, max_labels: int = 256) -> Model:
     """Fits the trees on rows with a label. Rows with null text or label are passed over; an empty sample gives a
     model without languages, which answers ``und``. key only spreads the sample over the rows."""
     rows = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(STEP)).alias("spot")).where(F.col("label").isNotNull())
@@ -81,9 +81,9 @@ def _freeze(labels: list[str], counts: pd.DataFrame) -> Model:
     classes[seen] = np.arange(1, len(seen) + 1)
     a = len(seen) + 1
     s = [classes[(gram >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0)]
-    n = counts["n"].to_numpy(np.float64)
+    n = counts["n"].to_numpy(np.float32)
     lang = np.searchsorted(np.array(labels), counts["label"].to_numpy(str)) if len(gram) else np.zeros(0, np.int64)
-    p = np.full((1, a, len(labels)), 1 / 256)
+    p = np.full((1, a, len(labels)), 1 / 256, np.float32)
     where = np.zeros(1, np.int64)  # node of each context of the order before
     tables, base = [], 0
     for k in range(ORDER + 1):
@@ -92,8 +92,8 @@ def _freeze(labels: list[str], counts: pd.DataFrame) -> Model:
             ctx = ctx * a + s[j]
         nodes = np.unique(ctx) if len(gram) else np.zeros(int(k == 0), np.int64)
         suffix = where[nodes % a ** (k - 1)] if k else np.zeros(len(nodes), np.int64)
-        below = (tables[-1][suffix - (base - len(tables[-1]))] if k else p).astype(np.float64)
-        c = np.zeros((len(nodes), a, len(labels)))
+        below = (tables[-1][suffix - (base - len(tables[-1]))] if k else p)
+        c = np.zeros((len(nodes), a, len(labels)), np.float32)
         np.add.at(c, (np.searchsorted(nodes, ctx), s[3], lang), n)
         total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):

@@ -5,8 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import language_id, packing, secrets
-from citelode.llm.common import table
+from citelode.llm import language_id, mixing, packing, quality, secrets, sharding, urls
+from citelode.llm.common import fresh_path, table
+
+#: The rules for pages.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in 40 appends at once, 32 small and 8 four times as large; one compaction; every document
+    as read back from the shard where the last version has it."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, fresh_path(spark, "shards"))
+    slot = F.pmod(F.col("doc_id"), F.lit(64))
+    store.append(docs, F.when(slot < 32, slot).otherwise(32 + F.floor((slot - 32) / 4)), F.floor(F.col("doc_id") / 64))
+    store.compact()
+    live = store.manifest().select(F.col("shard").alias("_shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
+    return store.read().join(live, "_shard").select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("_shard").alias("shard"), "shard_rows", "shard_bytes")
+
+
+OP1_SQL = """
+WITH d AS (SELECT *, coalesce(octet_length(encode(text)), 0) AS b, CASE WHEN doc_id % 64 < 32 THEN doc_id % 64 ELSE 32 + (doc_id % 64 - 32) // 4 END AS arrival FROM documents),
+p AS (SELECT arrival, greatest(1, (sum(b) + 134217727) // 134217728) AS parts FROM d GROUP BY arrival),
+e AS (SELECT d.*, 'a' || lpad(arrival::VARCHAR, 6, '0') || '-' || lpad(((doc_id // 64) % parts)::VARCHAR, 4, '0') AS first_shard FROM d JOIN p USING (arrival)),
+s AS (SELECT first_shard, count(*) AS n, sum(b) AS b FROM e GROUP BY first_shard),
+t AS (SELECT *, (SELECT coalesce(min(k), 12) FROM range(12) r(k) WHERE s.b * (4 ** k) >= 134217728) AS tier FROM s),
+u AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY tier ORDER BY first_shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 134217728 AS run FROM t),
+v AS (SELECT *, count(*) OVER w AS c, sum(b) OVER w AS total, sum(n) OVER w AS all_rows FROM u WINDOW w AS (PARTITION BY tier, run)),
+x AS (SELECT first_shard, CASE WHEN tier > 0 AND c > 1 AND (c >= 4 OR total >= 134217728) THEN 'm000002-' || lpad(tier::VARCHAR, 2, '0') || '-' || lpad(run::BIGINT::VARCHAR, 6, '0') ELSE first_shard END AS shard,
+  CASE WHEN tier > 0 AND c > 1 AND (c >= 4 OR total >= 134217728) THEN all_rows ELSE n END::BIGINT AS shard_rows,
+  CASE WHEN tier > 0 AND c > 1 AND (c >= 4 OR total >= 134217728) THEN total ELSE b END::BIGINT AS shard_bytes FROM v)
+SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, shard, shard_rows, shard_bytes FROM e JOIN x USING (first_shard)
+"""
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rnk, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+f AS (SELECT *, sum(source_size) OVER () AS total, coalesce(sum(3 * source_size) OVER q, 0) AS before, sum(weight) OVER () - coalesce(sum(weight) OVER q, 0) AS remaining
+  FROM w WINDOW q AS (ORDER BY (3 * source_size)::DOUBLE / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, (3 * source_size)::HUGEINT * remaining <= weight::HUGEINT * (total - before) AS sated FROM f),
+l AS (SELECT (max(total) - coalesce(sum(3 * source_size) FILTER (WHERE sated), 0))::DOUBLE / sum(weight) FILTER (WHERE NOT sated) AS level FROM g),
+t AS (SELECT source, source_size, rnk, CASE WHEN sated THEN (3 * source_size)::DOUBLE ELSE weight * level END AS target, total FROM g, l),
+r AS (SELECT d.*, source_size, rnk, target, total, sum(size) OVER (PARTITION BY rnk ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+i AS (SELECT r.*, e, CASE WHEN target > 0 THEN (source_size * e + run)::DOUBLE / target ELSE 0 END AS f FROM r, range(3) x(e)),
+c AS (SELECT *, sum(size) OVER (ORDER BY f, rnk, h, doc_id::VARCHAR, e, size ROWS UNBOUNDED PRECEDING) AS total_to FROM i)
+SELECT doc_id, size, source_size, target, sum(CASE WHEN total_to <= total THEN size ELSE 0 END)::BIGINT AS taken FROM c GROUP BY doc_id, h, size, source_size, target, run
+"""
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +79,44 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT doc_id, i, [ws[i], ws[i + 1], ws[i + 2]] AS g FROM w, range(1, len(ws) - 1) r(i)),
+q AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM p) WHERE c > 1),
+n AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM q, range(3) x(k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters FROM w LEFT JOIN n USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM m),
+v AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'capitals', 'lines', 'repeats', 'length']) AS measure, unnest([25, 50, 100, 100, 500]) AS spread,
+  unnest([coalesce(n_symbols * 1000 // nullif(n_words, 0), 0), coalesce(n_capitals * 1000 // nullif(n_letters, 0), 0), coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0), coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0), coalesce(word_chars * 1000 // nullif(n_words, 0), 0)])::BIGINT AS val FROM b),
+k AS (SELECT *, CASE WHEN val < 1000 THEN val ELSE val - val % (10 ** (length(val::VARCHAR) - 3))::BIGINT END AS bucket FROM v),
+own AS (SELECT lang, source, measure, count(*) AS docs, quantile_disc(bucket, 0.1) AS q10, quantile_disc(bucket, 0.5) AS q50, quantile_disc(bucket, 0.9) AS q90 FROM k WHERE NOT base_failed GROUP BY ALL),
+lng AS (SELECT lang, measure, count(*) AS docs, quantile_disc(bucket, 0.1) AS q10, quantile_disc(bucket, 0.5) AS q50, quantile_disc(bucket, 0.9) AS q90 FROM k WHERE NOT base_failed GROUP BY ALL),
+wh AS (SELECT measure, count(*) AS docs, quantile_disc(bucket, 0.1) AS q10, quantile_disc(bucket, 0.5) AS q50, quantile_disc(bucket, 0.9) AS q90 FROM k WHERE NOT base_failed GROUP BY ALL),
+h AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.docs >= 30 THEN own.q10 WHEN lng.docs >= 30 THEN lng.q10 ELSE wh.q10 END AS a, CASE WHEN own.docs >= 30 THEN own.q50 WHEN lng.docs >= 30 THEN lng.q50 ELSE wh.q50 END AS o, CASE WHEN own.docs >= 30 THEN own.q90 WHEN lng.docs >= 30 THEN lng.q90 ELSE wh.q90 END AS z
+  FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.measure = lng.measure JOIN wh ON own.measure = wh.measure),
+y AS (SELECT k.doc_id, bool_and(NOT base_failed AND coalesce(val <= o + 4 * greatest(o - a, spread) AND (k.measure <> 'length' OR val >= o - 4 * greatest(z - o, spread)), false)) AS kept
+  FROM k LEFT JOIN h ON k.lang IS NOT DISTINCT FROM h.lang AND k.source IS NOT DISTINCT FROM h.source AND k.measure = h.measure GROUP BY k.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM b JOIN y USING (doc_id)
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scans, op8_language_id, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_source_mixing, op4_secret_scans, op5_quality_rules, op8_language_id, op9_url_filters, op10_packing)}
+ORACLE_SQL = {"op1_sharding": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_quality_rules": OP5_SQL}

@@ -72,3 +72,8 @@ def spare_name(df: DataFrame, base: str) -> str:
     while base.lower() in have:
         base += "_"
     return base
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows with one key and different texts apart; null counts as a text of its own."""
+    return F.xxhash64(text, text.isNull())

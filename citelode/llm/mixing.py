@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citelode.llm.common import materialize, words
+from citelode.llm.common import materialize, text_hash, words
 
 BINS = 4096
 FAR = 4 * BINS
@@ -46,12 +46,12 @@ def targets(sizes: DataFrame, epochs: int = 3, cycle: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", epochs: int = 3) -> DataFrame:
-    """key, source, size, source_size, target and copies of each row: how often the mix takes it.
+    """key, source, size, source_size, target, copies (how often the mix takes it) and text_hash of each row.
 
     Null texts have size 0 and count 0 words taken; a null source is a source; a null key shuffles as the empty
     text; equal rows are rows of their own. Empty input gives no rows. The same rows give the same mix."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), text_hash(F.col(text)).alias("text_hash"))
     rows = materialize(rows.withColumn("h", F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
     plan = materialize(targets(rows, epochs).withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).drop("source"), "mix-targets")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
@@ -85,5 +85,5 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         cut = F.struct(*[F.lit(first[n]).cast(t).alias(n) for n, t in (("f", "double"), ("rank", "int"), ("h", "string"), ("k", "string"), ("e", "int"), ("size", "long"))])
         own = F.coalesce(F.col("key").cast("string"), F.lit(""))
         taken = sum((F.when(F.struct(finish(e).alias("f"), F.col("rank"), F.col("h"), own.alias("k"), F.lit(e).alias("e"), F.col("size")) < cut, 1).otherwise(0) for e in range(epochs)), F.lit(0))
-        return rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.alias("copies"))
-    return rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.lit(epochs).alias("copies"))
+        return rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.alias("copies"), "text_hash")
+    return rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.lit(epochs).alias("copies"), "text_hash")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import language_id, mixing, packing, quality, secrets, sharding, urls
+from citelode.llm import language_id, mixing, near_dedup, packing, quality, secrets, sharding, urls
 from citelode.llm.common import fresh_path, table
 
 #: The rules for pages.
@@ -60,6 +60,10 @@ SELECT doc_id, size, source_size, target, sum(CASE WHEN total_to <= total THEN s
 """
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = secrets.fit(secrets.samples(docs, "text", "doc_id"))
@@ -118,5 +122,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_source_mixing, op4_secret_scans, op5_quality_rules, op8_language_id, op9_url_filters, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_source_mixing, op3_minhash_near_dedup, op4_secret_scans, op5_quality_rules, op8_language_id, op9_url_filters, op10_packing)}
 ORACLE_SQL = {"op1_sharding": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_quality_rules": OP5_SQL}

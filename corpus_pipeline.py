@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import language_id, packing
-from citelode.llm.common import materialize, table
+from citelode.llm import language_id, mixing, near_dedup, packing, secrets
+from citelode.llm.common import materialize, spare_name, table, text_hash
+
+
+def _matched(docs: DataFrame, found: DataFrame, value: str, name: str) -> DataFrame:
+    """Different rows of docs by doc_id and text, with the found value for them (doc_id, text_hash, value) as name."""
+    h = spare_name(docs, "_text_hash")
+    rows = docs.withColumn(h, text_hash(F.col("text")))
+    f = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col(value).alias(name))
+    same: Column = rows["doc_id"].eqNullSafe(f["_id"]) & (rows[h] == f["_h"])
+    return rows.join(f, same).drop("_id", "_h").dropDuplicates(["doc_id", h]).drop(h)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,14 +25,40 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return got.where(F.col("lang_pred") != language_id.UNKNOWN).select(*names)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near copies; rows alike in id and text stay once."""
+    found = near_dedup.near_duplicates(docs).where("kept")
+    kept = found.groupBy("doc_id", "text_hash").agg(F.lit(True).alias("kept"))
+    return _matched(docs, kept, "kept", "_kept").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret found by <SECRET>; n_chars follows the text."""
+    model = secrets.fit(secrets.samples(docs, "text", "doc_id"))
+    as_column = spare_name(docs, "_found")
+    got = secrets.scan(docs, model, as_column=as_column).withColumn("text", F.coalesce(F.col(f"{as_column}.redacted"), "text"))
+    if "n_chars" in docs.columns:
+        got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return got.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it; those it does not take go."""
+    found = mixing.mix(docs).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    copies = spare_name(docs, "_copies")
+    return _matched(docs, found, "copies", copies).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens, as pieces of documents."""
     return packing.pack(docs)
 
 
-STAGES = [("language_id", identify_language), ("packing", pack)]
+STAGES = [("language_id", identify_language), ("near_dedup", drop_near_duplicates), ("secret_scans", redact_secrets), ("source_mixing", mix_sources), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -32,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The models and the packing are not expressible in SQL.
+#: The language models, the set similarity join and the packing are not expressible in SQL.
 ORACLE_SQL = None

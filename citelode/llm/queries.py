@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import language_id, mixing, near_dedup, packing, quality, secrets, sharding, urls
+from citelode.llm import fingerprints, language_id, mixing, near_dedup, packing, pii, quality, secrets, sharding, urls
 from citelode.llm.common import fresh_path, table
 
 #: The rules for pages.
@@ -110,6 +110,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda x: x["k"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.PATTERNS)]
+    return got.select("doc_id", *counts, F.sha2(pii.list_of(F.col("spans"), only_base=True), 256).alias("base_sha256"), pii.list_of(F.col("spans")).alias("spans"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -122,5 +136,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_source_mixing, op3_minhash_near_dedup, op4_secret_scans, op5_quality_rules, op8_language_id, op9_url_filters, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_source_mixing, op3_minhash_near_dedup, op4_secret_scans, op5_quality_rules, op6_document_fingerprints, op7_pii, op8_language_id, op9_url_filters, op10_packing)}
 ORACLE_SQL = {"op1_sharding": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_quality_rules": OP5_SQL}

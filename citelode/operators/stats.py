@@ -15,7 +15,7 @@ def wilson(n: Column, total: Column, z: float = 1.96) -> tuple[Column, Column]:
     p = n / t
     mid, spread = p + z * z / (2 * t), z * F.sqrt(p * (1 - p) / t + z * z / (4 * t * t))
     whole = 1 + z * z / t
-    return F.greatest(F.lit(0.0), (mid - spread) / whole), F.least(F.lit(1.0), (mid + spread) / whole)
+    return F.when(t.isNotNull(), F.greatest(F.lit(0.0), (mid - spread) / whole)), F.when(t.isNotNull(), F.least(F.lit(1.0), (mid + spread) / whole))
 
 
 def year_weights(works: DataFrame, year: str) -> DataFrame:

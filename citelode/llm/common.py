@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,8 @@ def spare_name(df: DataFrame, base: str) -> str:
 def text_hash(text: Column) -> Column:
     """Tells rows with one key and different texts apart; null counts as a text of its own."""
     return F.xxhash64(text, text.isNull())
+
+
+def plain(values) -> pd.Series:
+    """A column of Python objects; pandas' own string type can't always go into a struct."""
+    return pd.Series(list(values), dtype=object)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import by_value, small_batches
+from citelode.llm.common import by_value, plain, small_batches
 
 by_value(__name__)
 
@@ -154,13 +154,13 @@ def predict(text: Column, model: Model, spark) -> Column:
         for texts in batches:
             raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
             if len(labels) == 0:
-                yield pd.DataFrame({"lang_pred": [UNKNOWN] * len(raw), "score": np.zeros(len(raw))})
+                yield pd.DataFrame({"lang_pred": plain([UNKNOWN] * len(raw)), "score": np.zeros(len(raw))})
                 continue
             bits = code_lengths(m, raw)
             best = bits.argmin(1)
             with np.errstate(over="ignore", under="ignore"):
                 score = 1 / np.exp2(-(bits - bits.min(1, keepdims=True))).sum(1)
-            yield pd.DataFrame({"lang_pred": labels[best], "score": score})
+            yield pd.DataFrame({"lang_pred": plain(labels[best]), "score": score})
 
     found = udf(text)
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))

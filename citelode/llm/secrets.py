@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import by_value, small_batches
+from citelode.llm.common import by_value, plain, small_batches
 
 by_value(__name__)
 
@@ -30,6 +30,7 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 CUES = ("passw", "secret", "token", "api")
 STEP = 1 << 20
+THRESHOLD = 1.0  # bits a character
 SYMBOLS = 98  # printable ASCII, one for everything else, one for the start
 
 
@@ -74,12 +75,12 @@ def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for m in re.finditer(p, t):
                     tokens.append(m[0])
                     labels.append(1)
-            plain = re.findall(r"\b[A-Za-z]{2,}\b", t)
-            for i in range(0, len(plain) - 3, 4):
-                w = plain[i : i + 4]
+            ordinary = re.findall(r"\b[A-Za-z]{2,}\b", t)
+            for i in range(0, len(ordinary) - 3, 4):
+                w = ordinary[i : i + 4]
                 tokens += ["_".join(w).lower(), "".join(x.capitalize() for x in w), "-".join(w[:3]).lower() + str(i % 100), "/".join(w)]
                 labels += [0, 0, 0, 0]
-        yield pd.DataFrame({"token": tokens, "label": labels})
+        yield pd.DataFrame({"token": plain(tokens), "label": np.array(labels, np.int64)})
 
 
 def _random(n: int) -> list[str]:
@@ -143,7 +144,7 @@ def all_spans(text: str, table: np.ndarray, threshold: float) -> list[tuple[int,
     return sorted(out + more)
 
 
-def scan(df: DataFrame, table: np.ndarray, text: str = "text", threshold: float = 0.5, as_column: str = "found") -> DataFrame:
+def scan(df: DataFrame, table: np.ndarray, text: str = "text", threshold: float = THRESHOLD, as_column: str = "found") -> DataFrame:
     """df with a struct column: kinds, starts, ends (arrays of all spans by start, then kind), and the text with each
     span replaced by <SECRET>; overlapping spans are replaced as one. Null text: no spans, redacted stays null."""
     shared = df.sparkSession.sparkContext.broadcast(table)
@@ -154,7 +155,7 @@ def scan(df: DataFrame, table: np.ndarray, text: str = "text", threshold: float
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [all_spans(t, shared.value, threshold) if t else [] for t in texts]
-            yield pd.DataFrame({"kinds": [[k for _, k, _ in s] for s in found], "starts": [[a for a, _, _ in s] for s in found], "ends": [[b for _, _, b in s] for s in found], "redacted": [redact(t, s) if s else None for t, s in zip(texts, found, strict=True)]})
+            yield pd.DataFrame({"kinds": plain([k for _, k, _ in s] for s in found), "starts": plain([a for a, _, _ in s] for s in found), "ends": plain([b for _, _, b in s] for s in found), "redacted": plain(redact(t, s) if s else None for t, s in zip(texts, found, strict=True))})
 
     return df.withColumn(as_column, udf(F.col(text)))
 

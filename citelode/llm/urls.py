@@ -3,7 +3,7 @@
 Two smoothed Markov models of variable order (contexts of none, one and two characters, each order backing off to
 the one below) are counted over the URLs that a rule accepts and over those that a rule rejects. A URL's score is the
 difference of its log-likelihoods under the two, divided by its length. The threshold is calibrated on URLs held out
-from the counts: the score that best separates accepted from rejected ones. Characters fall into 40 classes, so the
+from the counts: the score that best separates accepted from rejected ones, halfway between the nearest of either. Characters fall into 40 classes, so the
 models are one dense table of 40 ** 3 numbers however many URLs there are; executors get a copy, 1 MB.
 """
 
@@ -99,11 +99,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", acce
     held = known.where("held").join(scored, "u").select("ok", bin_of(F.col("score")).alias("bin"))
     bins = held.groupBy("bin").agg(F.count(F.when(F.col("ok"), 1)).alias("a"), F.count(F.when(~F.col("ok"), 1)).alias("r")).orderBy("bin").collect()  # 2 * FAR + 1 rows at most
     good, bad = sum(b["a"] for b in bins), sum(b["r"] for b in bins)
-    cut, best, a, r = -FAR - 1, 0.0, 0, 0
-    for b in bins if good and bad else []:  # below the bin: rejected
+    cut, best, a, r, last = -FAR - 1, 0.0, 0, 0, -FAR - 1
+    for b in bins if good and bad else []:  # below the cut: rejected; the cut is halfway between the scores it parts
         if r / bad - a / good > best:
-            cut, best = b["bin"], r / bad - a / good
-        a, r = a + b["a"], r + b["r"]
+            cut, best = (last + b["bin"] + 1) // 2, r / bad - a / good
+        a, r, last = a + b["a"], r + b["r"], b["bin"]
     if good and bad and 1 - a / good > best:
         cut = FAR + 1
     rows = rows.join(scored.withColumnRenamed("u", "_u"), u == F.col("_u"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.canonical_edges(P.references(spark, d), _nodes(spark, d))
+    """Canonical edges, kept for the several aggregates that read them; what is lost is made again from the tables."""
+    return graph.canonical_edges(P.references(spark, d), _nodes(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _annual(spark: SparkSession, d: str) -> DataFrame:

@@ -9,13 +9,17 @@ from citelode.llm import language_id, mixing, near_dedup, packing, secrets
 from citelode.llm.common import materialize, spare_name, table, text_hash
 
 
+def _keys(frame: DataFrame, names: tuple[str, str], h: Column) -> DataFrame:
+    """frame with two join keys that are never null: the id, and a hash that tells its texts and a null id apart."""
+    return frame.withColumns({names[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), names[1]: F.xxhash64(F.col("doc_id").isNull(), h)})
+
+
 def _matched(docs: DataFrame, found: DataFrame, value: str, name: str) -> DataFrame:
-    """Different rows of docs by doc_id and text, with the found value for them (doc_id, text_hash, value) as name."""
-    h = spare_name(docs, "_text_hash")
-    rows = docs.withColumn(h, text_hash(F.col("text")))
-    f = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col(value).alias(name))
-    same: Column = rows["doc_id"].eqNullSafe(f["_id"]) & (rows[h] == f["_h"])
-    return rows.join(f, same).drop("_id", "_h").dropDuplicates(["doc_id", h]).drop(h)
+    """Different rows of docs by doc_id and text, with the found value for them (doc_id, text_hash, value) as name.
+    The texts move once: the join and the removal of repeated rows go by the same keys."""
+    keys = (spare_name(docs, "_row_id"), spare_name(docs, "_row_hash"))
+    f = _keys(found.withColumnRenamed(value, name), keys, F.col("text_hash")).select(*keys, name)
+    return _keys(docs, keys, text_hash(F.col("text"))).join(f, list(keys)).dropDuplicates(list(keys)).drop(*keys)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

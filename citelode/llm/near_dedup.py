@@ -2,14 +2,15 @@
 
 Documents are sets of hashed five-word shingles. Equal sets are one class, represented once. Each class has 64 minwise
 tokens. A tree branches the classes by the token at a chosen coordinate; a node with more classes than a limit branches
-again, by two coordinates that its path chooses, down to a depth. Small nodes are compared exhaustively. Independent
-trees repeat this: a pair at similarity 0.85 stays together in one tree with probability 0.82 or more, so ten trees
-miss it with probability below 1e-7. Nodes are compared by 8-bit sketches of the tokens (five standard deviations
-below the bound), and each link is confirmed on the full sets.
-
-A node still large at full depth holds classes that are alike. There every class is compared with a few pivots, and
-those that the links so far leave outside the node's main component are compared with all of the node that is not in
-their own: no link that joins two components is lost, and no group is expanded into all pairs.
+again, by two coordinates of the level's own nine that its path chooses. Small nodes are compared exhaustively.
+Independent trees repeat this: a pair at similarity 0.85 stays together in one tree with probability 0.82 or more, so
+ten trees miss it with probability below 1e-7. Nodes are compared by 8-bit sketches of the tokens (down to five standard
+deviations below the bound), and each link is confirmed on the full sets.
+
+A node that keeps most of what was above it holds classes that are alike, and branching does not part them: a dense node.
+There every class is compared with a few pivots, other ones in every node, and those that the links so far leave outside
+the node's main component are compared with all of the node that is not in their own: no link that joins two components
+is lost, and no group is expanded into all pairs. Nodes large at full depth are treated alike.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ by_value(__name__)
 
 TOKENS = 64
 TREES = 10
-DEPTH = 4
+DEPTH = 7
+SLOTS = 9  # coordinates of each level below the roots
 LIMIT = 24
+DENSE = 0.6
 PIVOTS = 3
 SHINGLE = 5
 NO_KEY = -(2**63)
@@ -154,32 +157,39 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) from small nodes and pivots, and the members (path, id) of nodes large at full depth.
+    """Pairs (a < b) from small nodes and pivots, and the members (path, id) of dense nodes.
     classes: id, n, sketch, tokens."""
-    small_parts, final = [], None
-    step = classes.select("id", F.posexplode(F.slice("tokens", 1, TREES)).alias("t", "v")).select(F.xxhash64("t", "v").alias("path"), "id")
+    small_parts, dense_parts = [], []
+    root = F.posexplode(F.slice("tokens", 1, TREES)).alias("t", "v")
+    step = classes.select("id", root).select(F.xxhash64("t", "v").alias("path"), "id", F.lit(2**62).alias("above"))
     for depth in range(1, DEPTH + 1):
-        sizes = step.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        alive = materialize(step.join(sizes, "path"), "nodes")
+        sizes = step.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.max("above").alias("above")).where("size > 1")
+        alive = materialize(step.select("path", "id").join(sizes, "path"), "nodes")
+        is_dense = (F.col("size") >= DENSE * F.col("above")) | F.lit(depth == DEPTH)
         small_parts.append(alive.where(F.col("size") <= LIMIT).select("path", "id"))
-        large = alive.where(F.col("size") > LIMIT).select("path", "id")
-        if depth == DEPTH:
-            final = large
+        dense_parts.append(alive.where((F.col("size") > LIMIT) & is_dense).select("path", "id"))
+        onward = alive.where((F.col("size") > LIMIT) & ~is_dense)
+        if depth == DEPTH or onward.isEmpty():
             break
-        pick = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.get("tokens", F.pmod(F.xxhash64("path", F.lit(j)), F.lit(TOKENS)).cast("int")).alias("v")) for j in (0, 1)]))
-        step = large.join(classes.select("id", "tokens"), "id").select("path", "id", pick.alias("c")).select(F.xxhash64("path", "c.j", "c.v").alias("path"), "id")
-    small = small_parts[0]
+        first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(SLOTS))
+        second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(SLOTS - 1)), F.lit(SLOTS))
+        at = TREES + SLOTS * (depth - 1)
+        pick = F.explode(F.array(*[F.struct(c.alias("j"), F.get("tokens", (c + at).cast("int")).alias("v")) for c in (first, second)]))
+        step = onward.join(classes.select("id", "tokens"), "id").select("path", "id", F.col("size").alias("above"), pick.alias("c"))
+        step = step.select(F.xxhash64("path", "c.j", "c.v").alias("path"), "id", "above")
+    small, dense = small_parts[0], dense_parts[0]
     for p in small_parts[1:]:
         small = small.unionByName(p)
+    for p in dense_parts[1:]:
+        dense = dense.unionByName(p)
     wide = small.join(classes.select("id", "n", "sketch"), "id")
     nodes = wide.groupBy("path").agg(F.collect_list(F.struct("id", "n", "sketch")).alias("m")).select(F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.sketch").alias("sketches"))
     pairs = nodes.mapInPandas(_compare, "a long, b long")
-    tops = [final.groupBy("path").agg(F.min(F.struct(F.xxhash64(F.lit(3 + k), F.col("id")).alias("h"), "id")).alias("o")).select("path", F.col("o.id").alias("a")) for k in range(PIVOTS)]
-    pivots = tops[0]
-    for p in tops[1:]:
-        pivots = pivots.unionByName(p)
-    stars = final.join(pivots.distinct(), "path").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    return pairs.unionByName(_sketched(stars, classes)).distinct(), final
+    dense = materialize(dense, "dense-nodes")
+    tops = dense.groupBy("path").agg(*[F.min_by("id", F.xxhash64("path", "id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    pivots = tops.select("path", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
+    stars = dense.join(pivots, "path").where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    return pairs.unionByName(_sketched(stars, classes)).distinct(), dense
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -205,19 +215,18 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _resolve(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Roots after confirming pairs. First one pair for each class, then one for each class that is left, then all
-    that are left: pairs that links already join need no confirmation."""
-    for phase in range(3):
-        pick = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if phase < 2 else pairs
+    """Roots after confirming pairs: first one pair for each class, then those that are left between components; pairs
+    that links already join need no confirmation."""
+    for phase in range(2):
+        pick = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if phase == 0 else pairs
         links = _links(pick, sets)
         if roots is not None:
             links = links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
         roots = components(links)
-        if phase == 2:
-            break
-        pairs = materialize(_apart(pairs.join(pick, ["a", "b"], "left_anti"), roots), "pairs")
-        if pairs.isEmpty():
-            break
+        if phase == 0:
+            pairs = materialize(_apart(pairs.join(pick, ["a", "b"], "left_anti"), roots), "pairs")
+            if pairs.isEmpty():
+                break
     return roots
 
 
@@ -234,7 +243,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     low = F.transform("tokens", lambda t: F.substring(F.hex(t.cast("long").bitwiseAND(255) + 256), 2, 2))
     classes = materialize(classes.select("cls", "key", F.xxhash64("cls").alias("id"), "n", "tokens", F.unhex(F.array_join(low, "")).alias("sketch")), "classes")
     pairs, final = candidates(classes)
-    pairs, final = materialize(pairs, "pairs"), materialize(final, "large-nodes")
+    pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(final.select("id")).distinct()
     sets = _sets(docs, key, text, classes.join(ids, "id", "left_semi").select("key", "id", "cls"))
     roots = _resolve(pairs, sets, None)

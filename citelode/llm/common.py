@@ -83,3 +83,6 @@ def text_hash(text: Column) -> Column:
 def plain(values) -> pd.Series:
     """A column of Python objects; pandas' own string type can't always go into a struct."""
     return pd.Series(list(values), dtype=object)
+
+
+by_value(__name__)

@@ -185,3 +185,28 @@ def a33(spark: SparkSession, d: str) -> DataFrame:
     _, negative = N.lag_days(F.col("publication_date"), F.col("event_date"))
     j = P.works(spark, d).join(P.events(spark, d), "work_id", "left")
     return quality_flags(j, {"flag_missing": F.col("is_retracted").isNull(), "event_missing": F.col("event_date").isNull(), "negative_lag": negative})
+
+
+@query("j5_reassembled_rows", f"WITH {P.WORKS}, {P.LABELS}, a AS (SELECT work_id, count(DISTINCT l0) AS n0 FROM labels_ GROUP BY 1), b AS (SELECT work_id, count(DISTINCT l1) AS n1 FROM labels_ WHERE l0 = 'SMALL' GROUP BY 1) SELECT work_id, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1 FROM works LEFT JOIN a USING (work_id) LEFT JOIN b USING (work_id)")
+def j5(spark: SparkSession, d: str) -> DataFrame:
+    la = P.labels(spark, d)
+    a = la.groupBy("work_id").agg(F.count_distinct("l0").alias("n0"))
+    b = la.where("l0 = 'SMALL'").groupBy("work_id").agg(F.count_distinct("l1").alias("n1"))
+    return P.works(spark, d).select("work_id").join(a, "work_id", "left").join(b, "work_id", "left").fillna(0, ["n0", "n1"])
+
+
+@query("j15_parameter_list", f"WITH {P.WORKS} SELECT work_id, type FROM works WHERE work_id IN (SELECT unnest([3, 5, 7, 999999999]))")
+def j15(spark: SparkSession, d: str) -> DataFrame:
+    ids = T.relation(spark, [(3,), (5,), (7,), (999_999_999,)], "work_id long")
+    return P.works(spark, d).join(F.broadcast(ids), "work_id", "left_semi").select("work_id", "type")
+
+
+@query("a4_filtered_distinct", "SELECT l_returnflag AS flag, count(DISTINCT l_orderkey) FILTER (WHERE l_quantity > 25) AS works, count(DISTINCT l_suppkey) FILTER (WHERE l_linestatus = 'F') AS suppliers FROM lineitem GROUP BY 1")
+def a4(spark: SparkSession, d: str) -> DataFrame:
+    return P.lines(spark, d).groupBy("flag").agg(F.count_distinct(F.when(F.col("quantity") > 25, F.col("work_id"))).alias("works"), F.count_distinct(F.when(F.col("status") == "F", F.col("supplier"))).alias("suppliers"))
+
+
+@query("v5_numerator_check", f"WITH {P.WORKS} SELECT type, 0::BIGINT AS numerator, 0::BIGINT AS denominator FROM works WHERE false")
+def v5n(spark: SparkSession, d: str) -> DataFrame:
+    cells = P.works(spark, d).groupBy("type").agg(F.count_if(N.is_true(F.col("is_retracted"))).alias("numerator"), F.count(F.lit(1)).alias("denominator"))
+    return checks.numerator_exceeds(cells)

@@ -275,3 +275,45 @@ def p34(spark: SparkSession, d: str) -> DataFrame:
 @query("json_props", "SELECT try_cast(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     return T.load(spark, d, "events").groupBy(F.get_json_object("props", "$.k").try_cast("bigint").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s3_glob", "SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
+def s3(spark: SparkSession, d: str) -> DataFrame:
+    return T.load_glob(spark, f"{d}/natio*.parquet").groupBy(F.col("n_regionkey").alias("region")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s26_named_views", "SELECT count(*) AS works, count(DISTINCT o_custkey) AS holders FROM orders WHERE o_orderstatus = 'F'")
+def s26(spark: SparkSession, d: str) -> DataFrame:
+    from citelode.sources.sinks import result_views
+
+    result_views({"flagged_works": T.load(spark, d, "orders").where("o_orderstatus = 'F'")})
+    return spark.sql("SELECT count(*) AS works, count(DISTINCT o_custkey) AS holders FROM flagged_works")
+
+
+@query("p16_follow_up_spans", f"WITH {P.EVENTS} SELECT work_id, k, event_date + 1 AS first_day, (event_date + to_years(k))::DATE + 1 AS end_day FROM events_, (VALUES (1), (3), (5)) w(k) WHERE (event_date + to_years(k))::DATE <= DATE '2000-06-30'")
+def p16(spark: SparkSession, d: str) -> DataFrame:
+    e = P.events(spark, d).withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))))
+    end = N.anniversary(F.col("event_date"), F.col("k"))
+    return e.where(end <= F.lit(P.CUTOFF).cast("date")).select("work_id", "k", F.date_add("event_date", 1).alias("first_day"), F.date_add(end, 1).alias("end_day"))
+
+
+@query("p30_exclude_replace", "SELECT * EXCLUDE (o_totalprice, o_custkey) REPLACE (upper(o_orderstatus) AS o_orderstatus, o_orderdate::DATE AS o_orderdate) FROM orders")
+def p30(spark: SparkSession, d: str) -> DataFrame:
+    return T.load(spark, d, "orders").drop("o_totalprice", "o_custkey").withColumns({"o_orderstatus": F.upper("o_orderstatus"), "o_orderdate": F.to_date("o_orderdate")})
+
+
+@query("p31_rounded_values", "SELECT o_orderpriority AS type, round(sum(o_totalprice) / 7, 2) AS value FROM orders GROUP BY 1")
+def p31(spark: SparkSession, d: str) -> DataFrame:
+    return T.load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("type")).agg(F.round(F.sum("o_totalprice") / 7, 2).alias("value"))
+
+
+@query("p35_insight_text", f"WITH {P.WORKS}, c AS (SELECT type, count(*) AS n FROM works WHERE is_retracted GROUP BY 1 ORDER BY n DESC, type LIMIT 1) SELECT type || ' has the most flagged works: ' || n AS insight FROM c")
+def p35(spark: SparkSession, d: str) -> DataFrame:
+    c = P.works(spark, d).where("is_retracted").groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type").limit(1)
+    return c.select(F.format_string("%s has the most flagged works: %d", "type", "n").alias("insight"))
+
+
+@query("v1_run_id", "SELECT sha256('{\"cutoff\":\"2000-06-30\",\"policy\":\"strict\"}') AS run_id, count(*) AS works FROM orders")
+def run_id(spark: SparkSession, d: str) -> DataFrame:
+    config = F.to_json(F.struct(F.lit(P.CUTOFF).alias("cutoff"), F.lit("strict").alias("policy")))
+    return T.load(spark, d, "orders").agg(F.sha2(F.first(config), 256).alias("run_id"), F.count(F.lit(1)).alias("works"))

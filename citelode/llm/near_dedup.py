@@ -8,8 +8,8 @@ ten trees miss it with probability below 1e-7. Nodes are compared by 8-bit sketc
 deviations below the bound), and each link is confirmed on the full sets.
 
 A node that keeps most of what was above it holds classes that are alike, and branching does not part them: a dense node.
-There every class is compared with a few pivots, other ones in every node, and those that the links so far leave outside
-the node's main component are compared with all of the node that is not in their own: no link that joins two components
+There every class is compared with a pivot, another one in every node, and those that the links so far leave outside
+the node's main component meet all of the node, set against set in blocks: no link that joins two components
 is lost, and no group is expanded into all pairs. Nodes large at full depth are treated alike.
 """
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import by_value, materialize, small_batches, text_hash
+from citelode.llm.common import by_value, materialize, plain, small_batches, text_hash
 from citelode.llm.components import components
 
 by_value(__name__)
@@ -33,7 +33,8 @@ DEPTH = 7
 SLOTS = 9  # coordinates of each level below the roots
 LIMIT = 24
 DENSE = 0.6
-PIVOTS = 3
+BLOCK = 2 << 20
+PIVOTS = 1
 SHINGLE = 5
 NO_KEY = -(2**63)
 LEAST_SKETCH = 0.63
@@ -92,7 +93,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
             for t in b["t"]:
                 s = shingles(t, cache)
                 rows.append((len(s), xxhash.xxh128_hexdigest(s.tobytes()) if len(s) else None, minwise(s, family).view(np.int32) if len(s) else None))
-            yield pd.DataFrame({"k": b["k"].astype(object).where(b["k"].notna(), None), "h": b["h"], "n": [r[0] for r in rows], "cls": [r[1] for r in rows], "tokens": [r[2] for r in rows]})
+            yield pd.DataFrame({"k": b["k"].astype(object).where(b["k"].notna(), None), "h": b["h"], "n": [r[0] for r in rows], "cls": plain(r[1] for r in rows), "tokens": plain(r[2] for r in rows)})
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), text_hash(F.col(text)).alias("h"))
     got = rows.mapInPandas(run, f"k {key_type}, h long, n long, cls string, tokens array<int>")
@@ -150,7 +151,7 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingles(t, cache).tobytes() for t in b["t"]]
             own = [xxhash.xxh128_hexdigest(s) == c for s, c in zip(sets, b["cls"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "s": sets})[own]
+            yield pd.DataFrame({"id": b["id"], "s": plain(sets)})[own]
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("t"))
     return materialize(rows.join(wanted, "key").select("id", "cls", "t").mapInPandas(run, "id long, s binary").dropDuplicates(["id"]), "sets", "lz4")
@@ -214,13 +215,13 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return j.where(F.coalesce("ra", F.col("a")) != F.coalesce("rb", F.col("b"))).select("a", "b")
 
 
-def _resolve(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _resolve(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Roots after confirming pairs: first one pair for each class, then those that are left between components; pairs
     that links already join need no confirmation."""
     for phase in range(2):
         pick = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if phase == 0 else pairs
         links = _links(pick, sets)
-        if roots is not None:
+        if phase:
             links = links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
         roots = components(links)
         if phase == 0:
@@ -230,6 +231,56 @@ def _resolve(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None) -> Data
     return roots
 
 
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each class of the left block, a link to one class of each component in the right block that it has a link to.
+    All sets of the block are one sorted list of shingles, so a class meets the whole block at once."""
+    for b in batches:
+        out = []
+        for xi, xr, xs, yi, yr, ys in zip(b["xi"], b["xr"], b["xs"], b["yi"], b["yr"], b["ys"], strict=True):
+            sets = [np.frombuffer(y, np.uint64) for y in ys]
+            sizes = np.array([len(y) for y in sets])
+            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            yi, yr = np.asarray(yi, np.int64), np.asarray(yr, np.int64)
+            for i, r, x in zip(xi, xr, xs, strict=True):
+                x = np.frombuffer(x, np.uint64)
+                lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                linked = np.flatnonzero((100 * both >= 85 * (len(x) + sizes - both)) & (yr != r))
+                if len(linked):
+                    _, first = np.unique(yr[linked], return_index=True)
+                    out += [(int(i), int(yi[k])) for k in linked[first]]
+        yield pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+
+
+def _rest(dense: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Roots after the classes outside the main component of each dense node have met all of the node, set against set.
+
+    Both sides go in blocks of about BLOCK bytes, and a block pair gives links between components only."""
+    spark = dense.sparkSession
+    named = dense.join(roots, "id", "left").join(classes.select("id", "n"), "id").select("path", "id", "n", F.coalesce("root", F.col("id")).alias("root"))
+    named = materialize(named, "named")
+    parts = named.groupBy("path", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    most = parts.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all_n"), F.max_by("n", F.struct("c", "root")).alias("main_n"))
+    open_nodes = most.where("roots > 1").select("path", "main", F.ceil(F.col("all_n") * 8 / BLOCK).alias("right"), F.ceil((F.col("all_n") - F.col("main_n")) * 8 / BLOCK).alias("left"))
+    rows = named.join(open_nodes, "path").join(sets, "id")
+
+    def blocks(df: DataFrame, side: str, name: str) -> DataFrame:
+        m = F.collect_list(F.struct("id", "root", "s")).alias("m")
+        grouped = df.groupBy("path", F.pmod(F.xxhash64("id"), F.col(side)).alias("block")).agg(m)
+        return grouped.select("path", F.col("m.id").alias(f"{name}i"), F.col("m.root").alias(f"{name}r"), F.col("m.s").alias(f"{name}s"))
+
+    small_batches(spark, 4)
+    links = materialize(blocks(rows.where("root <> main"), "left", "x").join(blocks(rows, "right", "y"), "path").mapInPandas(_across, "a long, b long"), "rest-links")
+    small_batches(spark, 256)
+    if links.isEmpty():
+        return roots
+    return components(links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept and text_hash of every row.
 
@@ -246,15 +297,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(final.select("id")).distinct()
     sets = _sets(docs, key, text, classes.join(ids, "id", "left_semi").select("key", "id", "cls"))
-    roots = _resolve(pairs, sets, None)
+    roots = _resolve(pairs, sets)
     if not final.isEmpty():
-        named = materialize(final.join(roots, "id", "left").select("path", "id", F.coalesce("root", F.col("id")).alias("root")), "named")
-        most = named.groupBy("path", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-        outside = named.join(most, "path").where("root <> main").select("path", F.col("id").alias("x"), F.col("root").alias("rx"))
-        rest = outside.join(named, "path").where("root <> rx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-        more = materialize(_sketched(rest, classes), "pairs")
-        if not more.isEmpty():
-            roots = _resolve(more, sets, roots)
+        roots = _rest(final, roots, classes, sets)
     rooted = classes.select("cls", "key", "id").join(roots, "id", "left").select("cls", "key", F.coalesce("root", F.col("id")).alias("root"))
     least = rooted.groupBy("root").agg(F.min("key").alias("component"))
     by_class = rooted.join(least, "root").select("cls", "component")

@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
 The fixed patterns give spans of e-mail addresses, IP addresses, payment cards and phone numbers. They are the seeds.
-A pattern is the two words around an identifier-like word (a digit and six or more characters, or a long number),
-lower-cased and with digits as one sign; an instance is the word's own text. Occurrences make a graph of patterns and
-instances. Spark scores it in rounds: a pattern scores the share of its different instances that are known (their
-score), held back by a prior against patterns with few instances; an instance scores the best of its patterns, seeds
-one. Instances of patterns at or above the threshold become spans of kind ``context``.
+A pattern is the two words around an identifier-like word (a digit and six or more characters), lower-cased and with
+every run of digits a 9; an instance is the word's own text. Occurrences make a graph of patterns and instances. It is scored
+in rounds until no pattern joins the good ones: a pattern scores the share of its different instances that are known
+(their score), held back by a prior against patterns with few instances; an instance scores the best of its good
+patterns, seeds one. Instances of good patterns become spans of kind ``context`` if a seed anywhere has their shape
+(runs of digits and runs of letters as one sign each), whatever its context.
 
 Everything is DataFrame functions. Positions come from splitting a text at the pattern: gaps and matches alternate, so
 running sums of their lengths are the starts and ends, in code points. The patterns give no way to backtrack over long
@@ -105,42 +106,46 @@ ENDS = r"""[.,;:!?"'()\[\]{}<>|]"""
 
 
 def contexts(text: Column, base: Column) -> Column:
-    """Array of (s, e, m, p, seed) of identifier-like words: place and text without outer punctuation, pattern, and
-    whether a base span touches the word. Pattern: the word before, the word's shape and the word after, in lower case;
-    the neighbouring identifier-like word is #."""
+    """Array of (s, e, m, p, f, seed) of identifier-like words: place and text without outer punctuation, pattern, shape,
+    and whether a base span touches the word. Pattern: the words before and after, in lower case and with 9 for every run of
+    digits; the neighbouring identifier-like word is #."""
     t = F.coalesce(text, F.lit(""))
 
     def near(gap: Column, last: bool) -> Column:
         flat = F.translate(gap, "\t\n\x0b\f\r", "     ")
         word = F.substring_index(F.rtrim(flat), " ", -1) if last else F.substring_index(F.ltrim(flat), " ", 1)
-        return F.when(F.trim(flat) == "", F.lit("#")).otherwise(F.lower(word))
+        return F.when(F.trim(flat) == "", F.lit("#")).otherwise(F.regexp_replace(F.lower(word), "[0-9]+", "9"))
 
     def one(x: Column) -> Column:
         left = F.length(x["m"]) - F.length(F.regexp_replace(x["m"], f"^{ENDS}+", ""))
         core = F.regexp_replace(x["m"], f"^{ENDS}+|{ENDS}+$", "")
-        shape = F.regexp_replace(F.regexp_replace(core, "[0-9]", "9"), "[A-Za-z]+", "a")
+        shape = F.regexp_replace(F.regexp_replace(core, "[0-9]+", "9"), "[A-Za-z]+", "a")
         s = x["s"] + left
         e = s + F.length(core)
         seed = F.exists(base, lambda b: (b["s"] < e) & (s < b["e"]))
-        return F.struct(s.alias("s"), e.alias("e"), core.alias("m"), F.concat_ws(" ", near(x["l"], True), shape, near(x["r"], False)).alias("p"), seed.alias("seed"))
+        return F.struct(s.alias("s"), e.alias("e"), core.alias("m"), F.concat_ws(" ", near(x["l"], True), near(x["r"], False)).alias("p"), shape.alias("f"), seed.alias("seed"))
 
     return F.filter(F.transform(found(t, LIKE), one), lambda x: F.length(x["m"]) >= 6)
 
 
-def confident(edges: DataFrame, rounds: int = 2, least: float = 0.8, prior: float = 2.0, support: int = 3) -> DataFrame:
+def confident(edges: DataFrame, rounds: int | None = None, least: float = 0.8, prior: float = 2.0, support: int = 3) -> DataFrame:
     """p: patterns at or above the threshold. edges: different (p, m, seed).
 
     A pattern's score is the sum of its instances' scores over their number plus the prior; patterns with fewer
-    instances than the support, or fewer seeds than two, score 0. An instance scores the best of its patterns."""
-    nodes = edges.groupBy("m").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    good = None
-    for k in range(rounds):
+    instances than the support, or fewer seeds than two, score 0. An instance scores the best of its patterns at or above
+    the threshold. Rounds go on until no pattern is added: scores only rise, so a pattern stays and the rounds end."""
+    first = edges.groupBy("m").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    nodes, held, k = first, -1, 0
+    while True:
         scored = edges.select("p", "m").join(nodes, "m").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("t"), F.sum(F.when(F.col("score") == 1, 1).otherwise(0)).alias("sure"))
-        good = materialize(scored.where((F.col("n") >= support) & (F.col("sure") >= 2)).select("p", (F.col("t") / (F.col("n") + prior)).alias("ps")), f"pii-patterns-{k}")
-        if k < rounds - 1:
-            best = edges.select("p", "m").join(good, "p").groupBy("m").agg(F.max("ps").alias("best"))
-            nodes = materialize(nodes.join(best, "m", "left").select("m", F.greatest("score", F.coalesce("best", F.lit(0.0))).alias("score")), f"pii-instances-{k}")
-    return good.where(F.col("ps") >= least).select("p")
+        scored = scored.where((F.col("n") >= support) & (F.col("sure") >= 2)).select("p", (F.col("t") / (F.col("n") + prior)).alias("ps"))
+        good = materialize(scored.where(F.col("ps") >= least), f"pii-patterns-{k}")
+        now, k = good.count(), k + 1
+        if now in (0, held) or k == rounds:
+            return good.select("p")
+        held = now
+        best = edges.select("p", "m").join(good, "p").groupBy("m").agg(F.max("ps").alias("best"))
+        nodes = materialize(first.join(best, "m", "left").select("m", F.greatest("score", F.coalesce("best", F.lit(0.0))).alias("score")), f"pii-instances-{k}")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
@@ -154,7 +159,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) ->
     seen = rows.where(F.size("c") > 0).select("key", "h", F.explode("c").alias("c")).select("key", "h", "c.*")
     edges = materialize(seen.groupBy("p", "m").agg(F.max("seed").alias("seed")), "pii-edges")
     good = confident(edges, **limits)
-    fresh = seen.where(~F.col("seed")).join(good, "p").select("key", "h", F.struct("s", F.lit(len(PATTERNS)).alias("k"), "e").alias("x"))
+    shapes = seen.where("seed").select("f").distinct()
+    fresh = seen.where(~F.col("seed")).join(good, "p").join(shapes, "f", "left_semi").select("key", "h", F.struct("s", F.lit(len(PATTERNS)).alias("k"), "e").alias("x"))
     more = fresh.groupBy("key", "h").agg(F.collect_set("x").alias("more")).select(F.col("key").alias("_k"), F.col("h").alias("_h"), "more")
     joined = rows.join(more, rows["key"].eqNullSafe(more["_k"]) & (rows["h"] == more["_h"]), "left")
     none = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")

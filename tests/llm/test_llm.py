@@ -372,6 +372,28 @@ def test_pii_learns_contexts(spark):
     assert pii.scan(docs(spark, learn)).count() == 33 and pii.scan(docs(spark, [])).count() == 0
 
 
+def test_pii_finds_unseen(spark):
+    """Identifiers that no fixed pattern takes and whose shape no seed of the context has; digits in the context differ."""
+    mails = [f"desk {i} box{i} user{i}@example.org day{i} thanks" for i in range(40)]
+    others = ["host 10.20.30.44 answers", "card 4111111111111111 filed"]
+    unseen = ["ask box5 310.1.22.4 day7 thanks", "ask box6 1234567890123 day8 thanks"]
+    outside = ["ask for 310.1.22.4 tomorrow", "ask box5 ab12/cd34 day7 thanks"]
+    texts = [*mails, *others, *unseen, *outside]
+    got = {r["doc_id"]: [texts[r["doc_id"]][x["s"] : x["e"]] for x in r["spans"] if x["k"] == 4] for r in pii.scan(docs(spark, texts)).collect()}
+    assert got[42] == ["310.1.22.4"] and got[43] == ["1234567890123"]
+    assert all(not x for i, x in got.items() if i not in (42, 43))
+
+
+def test_pii_rounds_until_stable(spark):
+    """Each pattern needs what the one before it made known: four rounds, and one that adds nothing."""
+    edges = [("p0", f"s{i}", True) for i in range(60)] + [("p0", f"a{i}", False) for i in range(4)]
+    for k, (a, b) in enumerate(["ab", "bc", "cd"], 1):
+        edges += [(f"p{k}", f"t{k}{i}", True) for i in range(30)] + [(f"p{k}", f"{v}{i}", False) for v in (a, b) for i in range(4)]
+    df = spark.createDataFrame(edges, "p string, m string, seed boolean")
+    assert sorted(r["p"] for r in pii.confident(df).collect()) == ["p0", "p1", "p2", "p3"]
+    assert sorted(r["p"] for r in pii.confident(df, rounds=2).collect()) == ["p0", "p1"]
+
+
 # --- language
 
 

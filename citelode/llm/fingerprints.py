@@ -1,9 +1,9 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
 Terms are lower-cased words, as 64-bit hashes. The lexicon is a band of inverse document frequency: terms in at most
-one of ``most`` documents and at least one of ``least`` (three documents at least); its lower edge rises by powers of
-two until it has no more than ``terms`` terms, which bounds what executors get. Of each document the sorted, different
-lexicon terms are kept. The lexicon is cut at random into disjoint subsets, 32 * 2 ** level of them, of which the first
+one of ``most`` documents and at least one of ``least`` (three documents at least), whatever the corpus's size. A band
+of no more than ``shared`` terms is sent to every executor, a larger one is joined by a shuffle; the fingerprints are
+the same. Of each document the sorted, different lexicon terms are kept. The lexicon is cut at random into disjoint subsets, 32 * 2 ** level of them, of which the first
 32 count; a document's level is the least at which it has no more than one term a subset on average. The fingerprint
 is the hash of the terms in each of the 32 subsets, at the document's level and the next, so that documents of
 different length still have a level in common. A document without lexicon terms is fingerprinted by all its terms.
@@ -21,27 +21,19 @@ from pyspark.sql.window import Window
 from citelode.llm.common import materialize, text_hash, words
 
 SUBSETS = 32
-MARK = 0  # a term of every document: keeps it through the join with the lexicon
 
 
 def term_hashes(text: Column) -> Column:
-    """Different hashes of a text's words, none of them the mark."""
+    """Different hashes of a text's words."""
     return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text: str, least: int = 20_000, most: int = 50, terms: int = 200_000) -> DataFrame:
-    """term, and the mark. At most ``terms`` + 1 rows of 8 bytes."""
+def lexicon(docs: DataFrame, text: str, least: int = 20_000, most: int = 50) -> DataFrame:
+    """term: all of the band."""
     n = docs.count()
     counts = docs.select(F.explode(term_hashes(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     band = counts.where((F.col("df") >= max(3, n // least)) & (F.col("df") <= max(3, n // most)))
-    band = materialize(band.withColumn("size", F.floor(F.log2("df")).cast("int")), "lexicon")
-    edge, held = 0, 0
-    for r in band.groupBy("size").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("size")).collect():  # 63 rows at most
-        held += r["c"]
-        if held > terms:
-            edge = r["size"] + 1
-            break
-    return band.where(F.col("size") >= edge).select("term").unionByName(docs.sparkSession.range(MARK, MARK + 1).select(F.col("id").alias("term")))
+    return materialize(band.select("term"), "lexicon")
 
 
 def subset_hashes(terms: Column, level: Column) -> Column:
@@ -97,7 +89,7 @@ def next_in_order(ids: DataFrame) -> DataFrame:
     return inner.join(follow, "range").select("key", "h", *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(f"next_{c}") for c in ("key", "h")])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", **band) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: int = 2_000_000, **band) -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every different row.
 
     The edited text: the last third (floor of n_chars / 3) replaced by as much of the start of the next document by
@@ -117,14 +109,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", **ban
     texts = both.select("key", "h", F.posexplode(F.array(F.col("t"), edited)).alias("variant", "t"))
     hashed = texts.select("key", "h", "variant", F.when(F.col("variant") == 1, F.sha2("t", 256)).alias("sha"), term_hashes(F.col("t")).alias("a"))
     mixed = F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
-    mark = F.array(F.struct(F.lit(MARK).cast("long").alias("term"), F.struct(F.col("sha").alias("sha"), mixed.alias("all")).alias("info")))
+    # the row that carries a text through the join has a term of its own, so that these rows spread
+    mark = F.array(F.struct(F.xxhash64("key", "h", "variant").alias("term"), F.struct(F.col("sha").alias("sha"), mixed.alias("all")).alias("info")))
     none = F.lit(None).cast("struct<sha:string,all:bigint>")
     rows = hashed.select("key", "h", "variant", F.explode(F.concat(mark, F.transform("a", lambda x: F.struct(x.alias("term"), none.alias("info"))))).alias("e")).select("key", "h", "variant", "e.term", "e.info")
-    kept = rows.join(F.broadcast(terms), "term")  # the lexicon's size is bounded
+    terms = terms.withColumn("hit", F.lit(True))
+    kept = rows.join(F.broadcast(terms) if terms.count() <= shared else terms.hint("shuffle_merge"), "term", "left").where("hit OR info IS NOT NULL")
     parts = []
     for v in (0, 1):
         mine = F.col("variant") == v
-        parts += [F.array_sort(F.collect_set(F.when(mine & (F.col("term") != MARK), F.hash("term")))).alias(f"terms{v}"), F.max(F.when(mine, F.col("info.all"))).alias(f"all{v}")]
+        parts += [F.array_sort(F.collect_set(F.when(mine & F.col("info").isNull(), F.hash("term")))).alias(f"terms{v}"), F.max(F.when(mine, F.col("info.all"))).alias(f"all{v}")]
     grouped = kept.groupBy("key", "h").agg(*parts, F.max("info.sha").alias("sha"))
     prints = grouped.select("key", "h", "sha", fingerprint(F.col("terms0"), F.col("all0")).alias("f"), fingerprint(F.col("terms1"), F.col("all1")).alias("g"))
     prints = materialize(prints, "fingerprints")

@@ -312,6 +312,16 @@ def test_fingerprints(spark, corpus):
     assert np.mean(near) > 0.25 and np.mean([got[i]["near_next"] for i in corpus[1]]) < 0.1
 
 
+def test_fingerprint_band_at_every_size(spark, corpus):
+    """The stated band is kept however many terms it has, and both ways of the join give the same rows."""
+    df = docs(spark, list(corpus[1].values()), ids=list(corpus[1]))
+    df_of = Counter(w for t in corpus[1].values() for w in set(re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())))
+    n = len(corpus[1])
+    assert fingerprints.lexicon(df, "text").count() == sum(3 <= c <= max(3, n // 50) for c in df_of.values())
+    whole, dealt = (sorted(map(tuple, fingerprints.fingerprints(df, shared=k).collect())) for k in (2_000_000, 10))
+    assert whole == dealt and sum(r[3].startswith("-1") for r in dealt) < n / 2
+
+
 def test_fingerprint_edges(spark):
     assert fingerprints.fingerprints(docs(spark, [])).count() == 0
     one = fingerprints.fingerprints(docs(spark, ["abc def"])).collect()

@@ -6,10 +6,12 @@ of no more than ``shared`` terms is sent to every executor, a larger one is join
 the same. Of each document the sorted, different lexicon terms are kept. The lexicon is cut at random into disjoint subsets, 32 * 2 ** level of them, of which the first
 32 count; a document's level is the least at which it has no more than one term a subset on average. The fingerprint
 is the hash of the terms in each of the 32 subsets, at the document's level and the next, so that documents of
-different length still have a level in common. A document without lexicon terms is fingerprinted by all its terms.
+different length still have a level in common. Besides, each of 8 randomised lexicons keeps three quarters of the
+band, and the hash of all of a document's terms in it is part of the fingerprint, so every lexicon term takes part. A
+document without lexicon terms is fingerprinted by all its terms.
 
-Likeness of two fingerprints: at the higher of their levels, the share of equal hashes among the subsets where either
-has a term; 0 where levels are further apart than one; for documents without lexicon terms, 1 if equal, else 0.
+Likeness of two fingerprints: the share of equal hashes among the randomised lexicons, and among the subsets at the
+higher of their levels, where either has a term; 0 where levels are further apart than one; for documents without lexicon terms, 1 if equal, else 0.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql.window import Window
 from citelode.llm.common import materialize, text_hash, words
 
 SUBSETS = 32
+LEXICONS = 8
 
 
 def term_hashes(text: Column) -> Column:
@@ -49,18 +52,32 @@ def subset_hashes(terms: Column, level: Column) -> Column:
     return F.get(F.transform(F.array(kept), lambda own: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: one(k, own))), 0)
 
 
+def lexicon_hashes(terms: Column) -> Column:
+    """8 hashes of all sorted terms in each randomised lexicon; 0 for a lexicon without terms. A term is left out of a
+    lexicon where the two bits of its hash for this lexicon are 0, and is in all where it would be in none."""
+    bits = (1 << 2 * LEXICONS) - 1
+    marked = F.transform(terms, lambda t: F.struct(F.xxhash64(F.lit(11), t).bitwiseAND(bits).alias("b"), t.alias("t")))
+
+    def one(k: int, own: Column) -> Column:
+        mine = F.filter(own, lambda p: (p["b"].bitwiseAND(3 << 2 * k) != 0) | (p["b"] == 0))
+        return F.when(F.size(mine) == 0, F.lit(0)).otherwise(F.hash(F.transform(mine, lambda p: p["t"])))
+
+    return F.get(F.transform(F.array(marked), lambda own: F.array(*[one(k, own) for k in range(LEXICONS)])), 0)
+
+
 def fingerprint(terms: Column, all_terms: Column) -> Column:
-    """Struct level, now, next (hash arrays); level -1 with one hash of all terms where no lexicon term is there.
+    """Struct level, now, next, whole (hash arrays); level -1 with one hash of all terms where no lexicon term is there.
     terms: sorted lexicon terms."""
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.size(terms) / SUBSETS)).cast("int"))
     none = F.array(F.hash(all_terms))
-    return F.when(F.size(terms) > 0, F.struct(level.alias("level"), subset_hashes(terms, level).alias("now"), subset_hashes(terms, level + 1).alias("next"))).otherwise(F.struct(F.lit(-1).alias("level"), none.alias("now"), none.alias("next")))
+    return F.when(F.size(terms) > 0, F.struct(level.alias("level"), subset_hashes(terms, level).alias("now"), subset_hashes(terms, level + 1).alias("next"), lexicon_hashes(terms).alias("whole"))).otherwise(F.struct(F.lit(-1).alias("level"), none.alias("now"), none.alias("next"), F.array().cast("array<int>").alias("whole")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprint structs, 0 to 1."""
     x = F.when(a["level"] >= b["level"], a["now"]).otherwise(a["next"])
     y = F.when(b["level"] >= a["level"], b["now"]).otherwise(b["next"])
+    x, y = F.concat(x, a["whole"]), F.concat(y, b["whole"])
     pairs = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] != 0) | (p["y"] != 0))
     same = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
     apart = (F.abs(a["level"] - b["level"]) > 1) | (F.least(a["level"], b["level"]) < 0) & (a["level"] != b["level"])
@@ -71,7 +88,7 @@ def as_text(f: Column) -> Column:
     def digits(hashes: Column) -> Column:
         return F.array_join(F.transform(hashes, lambda h: F.when(h == 0, F.lit("-")).otherwise(F.hex(h.cast("long").bitwiseAND(4294967295)))), ".")
 
-    return F.concat_ws("/", f["level"].cast("string"), digits(f["now"]), digits(f["next"]))
+    return F.concat_ws("/", f["level"].cast("string"), digits(f["now"]), digits(f["next"]), digits(f["whole"]))
 
 
 def next_in_order(ids: DataFrame) -> DataFrame:

@@ -312,6 +312,15 @@ def test_fingerprints(spark, corpus):
     assert np.mean(near) > 0.25 and np.mean([got[i]["near_next"] for i in corpus[1]]) < 0.1
 
 
+def test_fingerprint_uses_every_term(spark):
+    """A long text and the same with one lexicon term left out, whichever it is, have different fingerprints."""
+    terms = [7919 * i for i in range(1, 501)]
+    df = spark.createDataFrame([(i, terms[:i] + terms[i + 1 :]) for i in range(500)] + [(-1, terms)], "k int, terms array<int>")
+    prints = df.select("k", fingerprints.fingerprint(F.col("terms"), F.lit(1)).alias("f")).collect()
+    assert len({str(r["f"]) for r in prints}) == 501
+    assert len({str(r["f"]["whole"]) for r in prints}) == 501
+
+
 def test_fingerprint_band_at_every_size(spark, corpus):
     """The stated band is kept however many terms it has, and both ways of the join give the same rows."""
     df = docs(spark, list(corpus[1].values()), ids=list(corpus[1]))

@@ -7,8 +7,9 @@ empty context all 256 bytes are alike. A context the language never had costs no
 after fitting; a text goes to the language whose model gives the shortest code for its UTF-8 bytes.
 
 The trees are fitted on a sample of the labelled rows: each label contributes about ``docs_per_label`` whole
-documents, chosen by hash, and the ``grams_per_label`` most frequent 4-grams (1.6 million over the number of labels
-at most); both are parameters.
+documents, chosen by hash, and its own ``grams_per_label`` most frequent 4-grams, however many labels there are; both
+are parameters. A label's model is sparse: only what it has seen is stored, so the models grow with the labels' own
+4-grams, and a text's different 4-grams are looked up once.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from citelode.llm.common import by_value, plain, small_batches
 
@@ -34,14 +36,11 @@ PAD = b"\n" * ORDER
 
 @dataclass
 class Model:
-    """labels: languages by code point. classes: byte to symbol. node: index of the longest known context for each
-    triple of symbols. bits: code length of each symbol after each node, a column per language."""
+    """labels: languages by code point. trees: for each language and order, the contexts with the following byte that were
+    seen (sorted), the code lengths of these, the contexts (sorted) and the code lengths of their escapes."""
 
     labels: list[str]
-    classes: np.ndarray
-    node: np.ndarray
-    bits: np.ndarray
-    symbols: int
+    trees: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -58,73 +57,74 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"label": label, "gram": g.astype(np.int64), "n": n.astype(np.int64)})
 
 
-def fit(labelled: DataFrame, text: str, label: str, key: str, docs_per_label: int = 1500, grams_per_label: int = 50_000, max_labels: int = 256) -> Model:
+def fit(labelled: DataFrame, text: str, label: str, key: str, docs_per_label: int = 1500, grams_per_label: int = 50_000) -> Model:
     """Fits the trees on rows with a label. Rows with null text or label are passed over; an empty sample gives a
     model without languages, which answers ``und``. key only spreads the sample over the rows."""
     rows = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(STEP)).alias("spot")).where(F.col("label").isNotNull())
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()}
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = sorted(sizes)
     if not labels:
-        return Model([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 0), np.float32), 1)
-    bound = F.lit(0)
-    for k in labels:
-        bound = F.when(F.col("label") == k, F.lit(int(min(STEP, STEP * docs_per_label // sizes[k] + 1)))).otherwise(bound)
-    counts = rows.where(F.col("spot") < bound).select("label", "text").mapInPandas(_count, "label string, gram long, n long")
-    most = counts.groupBy("label", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label", "gram").limit(min(grams_per_label * len(labels), 1_600_000 // len(labels))).toPandas()
-    return _freeze(labels, most)
-
-
-def _freeze(labels: list[str], counts: pd.DataFrame) -> Model:
-    gram = counts["gram"].to_numpy(np.int64)
-    seen = np.unique(np.concatenate([(gram >> s) & 255 for s in (24, 16, 8, 0)])) if len(gram) else np.zeros(0, np.int64)
-    classes = np.zeros(256, np.int32)  # symbol 0: never seen
-    classes[seen] = np.arange(1, len(seen) + 1)
-    a = len(seen) + 1
-    s = [classes[(gram >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0)]
-    n = counts["n"].to_numpy(np.float32)
-    lang = np.searchsorted(np.array(labels), counts["label"].to_numpy(str)) if len(gram) else np.zeros(0, np.int64)
-    p = np.full((1, a, len(labels)), 1 / 256, np.float32)
-    where = np.zeros(1, np.int64)  # node of each context of the order before
-    tables, base = [], 0
+        return Model([], [])
+    limits = [(k, i, int(min(STEP, STEP * docs_per_label // sizes[k] + 1))) for i, k in enumerate(labels)]
+    bounds = labelled.sparkSession.createDataFrame(limits, "label string, at int, bound int")
+    sample = rows.join(F.broadcast(bounds), "label").where(F.col("spot") < F.col("bound")).select(F.col("at").alias("label"), "text")  # a row a label
+    counts = sample.mapInPandas(_count, "label int, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "gram"))
+    most = counts.withColumn("rank", rank).where(F.col("rank") <= grams_per_label).drop("rank").toPandas()
+    own = dict(list(most.groupby("label")))
+    return Model(labels, [_tree(own[i]["gram"].to_numpy(np.int64), own[i]["n"].to_numpy(np.float64)) if i in own else [] for i in range(len(labels))])
+
+
+def _tree(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The orders of one language, from the empty context up. gram: four bytes each, the last follows the others."""
+    tree = []
     for k in range(ORDER + 1):
-        ctx = np.zeros(len(gram), np.int64)
-        for j in range(ORDER - k, ORDER):
-            ctx = ctx * a + s[j]
-        nodes = np.unique(ctx) if len(gram) else np.zeros(int(k == 0), np.int64)
-        suffix = where[nodes % a ** (k - 1)] if k else np.zeros(len(nodes), np.int64)
-        below = (tables[-1][suffix - (base - len(tables[-1]))] if k else p)
-        c = np.zeros((len(nodes), a, len(labels)), np.float32)
-        np.add.at(c, (np.searchsorted(nodes, ctx), s[3], lang), n)
-        total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            q = np.where(c > 0, c / (total + kinds), kinds / (total + kinds) * below)
-        tables.append(np.where(total > 0, q, below).astype(np.float32))
-        index = np.full(a**k, -1, np.int64)
-        index[nodes] = base + np.arange(len(nodes))
-        if k:  # an unknown context stands for its longest known suffix
-            index = np.where(index < 0, np.tile(where, a), index)
-        where, base = index, base + len(nodes)
-    bits = -np.log2(np.concatenate(tables)).reshape(-1, len(labels)).astype(np.float32)
-    return Model(labels, classes, where.astype(np.int32), bits, a)
+        seen, at = np.unique(gram & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        c = np.bincount(at, n)
+        contexts, of, kinds = np.unique(seen >> 8, return_inverse=True, return_counts=True)
+        total = np.bincount(of, c) + kinds
+        tree.append((seen.astype(np.uint32), -np.log2(c / total[of]), contexts.astype(np.uint32), -np.log2(kinds / total)))
+    return tree
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted in sorted keys, and whether they are there."""
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return i, keys[i] == wanted
+
+
+def _bits(tree: list, grams: np.ndarray) -> np.ndarray:
+    """Code length of the last byte of each 4-gram after the first three."""
+    out, left = np.zeros(len(grams)), np.arange(len(grams))
+    for k in range(len(tree) - 1, -1, -1):
+        seen, code, contexts, escape = tree[k]
+        g = grams[left] & np.uint32((1 << 8 * (k + 1)) - 1)
+        i, there = _at(seen, g)
+        out[left[there]] += code[i[there]]
+        left, g = left[~there], g[~there]
+        i, there = _at(contexts, g >> np.uint32(8))
+        out[left[there]] += escape[i[there]]
+    out[left] += 8
+    return out
 
 
 def code_lengths(model: Model, texts: list[bytes], chunk: int = 1 << 20) -> np.ndarray:
     """Bits of each text under each language, a row per text; whole texts, in slices of bounded size."""
-    out, a = np.zeros((len(texts), len(model.labels))), model.symbols
+    out = np.zeros((len(texts), len(model.labels)))
     todo, size = [], 0
 
     def flush() -> None:
         if todo:
-            sym = model.classes[np.frombuffer(b"".join(t for _, t in todo), np.uint8)]
-            ctx = (sym[:-3] * a + sym[1:-2]) * a + sym[2:-1]
-            bits = model.bits[model.node[ctx] * a + sym[3:]]
+            raw = np.frombuffer(b"".join(t for _, t in todo), np.uint8).astype(np.uint32)
+            grams, at = np.unique((raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:], return_inverse=True)
             ends = np.cumsum([len(t) for _, t in todo])
             starts = np.concatenate([[0], ends[:-1]])
-            keep = np.ones(len(bits), bool)
+            keep = np.ones(len(at), bool)
             for e in ends[:-1]:  # contexts that span two texts
                 keep[e - 3 : e] = False
-            bits[~keep] = 0
-            np.add.at(out, [i for i, _ in todo], np.add.reduceat(bits, starts, axis=0, dtype=np.float64))
+            of = [i for i, _ in todo]
+            for j, tree in enumerate(model.trees):
+                np.add.at(out[:, j], of, np.add.reduceat(np.where(keep, _bits(tree, grams)[at], 0), starts))
             todo.clear()
 
     for i, t in enumerate(texts):

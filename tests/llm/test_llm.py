@@ -453,6 +453,19 @@ def test_code_lengths(spark):
     assert model.labels == ["aa", "bb"] and np.allclose(got, want, rtol=1e-4, atol=1e-3)
 
 
+def test_language_rare_and_many_labels(spark):
+    """A label with one short text keeps its 4-grams beside 300 others, as every other label does."""
+    rng = random.Random(3)
+    own = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)] for k in range(300)}
+    texts = {k: [" ".join(rng.choices(ws, k=60)) for _ in range(1 if k == "l007" else 4)] for k, ws in own.items()}
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    got = language_id.code_lengths(model, [" ".join(rng.choices(ws, k=30)).encode() for ws in own.values()])
+    assert model.labels == list(own) and list(got.argmin(1)) == list(range(300))
+    want = [lengths_by_hand(texts[k], b"abc xyz") for k in ("l007", "l299")]
+    assert np.allclose(language_id.code_lengths(model, [b"abc xyz"])[0, [7, 299]], want, rtol=1e-4)
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(d).where("held_out").select("lang", "lang_pred", "score").collect()

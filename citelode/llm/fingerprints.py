@@ -1,17 +1,22 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
 Terms are lower-cased words, as 64-bit hashes. The lexicon is a band of inverse document frequency: terms in at most
-one of ``most`` documents and at least one of ``least`` (three documents at least), whatever the corpus's size. A band
-of no more than ``shared`` terms is sent to every executor, a larger one is joined by a shuffle; the fingerprints are
-the same. Of each document the sorted, different lexicon terms are kept. The lexicon is cut at random into disjoint subsets, 32 * 2 ** level of them, of which the first
-32 count; a document's level is the least at which it has no more than one term a subset on average. The fingerprint
-is the hash of the terms in each of the 32 subsets, at the document's level and the next, so that documents of
-different length still have a level in common. Besides, each of 8 randomised lexicons keeps three quarters of the
-band, and the hash of all of a document's terms in it is part of the fingerprint, so every lexicon term takes part. A
-document without lexicon terms is fingerprinted by all its terms.
+one of ``most`` documents and at least one of ``least`` (three documents at least), whatever the corpus's size. Of each
+document the sorted, different lexicon terms are kept. The lexicon is cut at random into disjoint subsets,
+32 * 2 ** level of them, of which the first 32 count; a document's level is the least at which it has no more than one
+term a subset on average. The fingerprint is the hash of the terms in each of the 32 subsets, at the document's level
+and the next, so that documents of different length still have a level in common. Besides, each of 8 randomised lexicons
+keeps three quarters of the band, and the hash of all of a document's terms in it is part of the fingerprint, so every
+lexicon term takes part. A document without lexicon terms is fingerprinted by all its terms.
 
 Likeness of two fingerprints: the share of equal hashes among the randomised lexicons, and among the subsets at the
-higher of their levels, where either has a term; 0 where levels are further apart than one; for documents without lexicon terms, 1 if equal, else 0.
+higher of their levels, where either has a term; 0 where levels are further apart than one; for documents without
+lexicon terms, 1 if equal, else 0.
+
+Texts move once. Documents are dealt by ranges of their keys, cut at quantiles; within a range, a window in descending
+order brings each text its next one. The first document of a range also goes, as a guest, to the end of the range before,
+so no range waits for another. A lexicon of no more than ``shared`` terms (a parameter) is a hash table that every task
+has, and terms are looked up where the text is; a larger one is joined by a shuffle of terms. Fingerprints are the same.
 """
 
 from __future__ import annotations
@@ -20,10 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citelode.llm.common import materialize, text_hash, words
+from citelode.llm.common import constant, materialize, text_hash, words
 
 SUBSETS = 32
 LEXICONS = 8
+RANGES = 8192  # of keys, at most
+RANGE_ROWS = 1024  # documents a range while there are fewer ranges
+NO_KEY = -(2**63)
 
 
 def term_hashes(text: Column) -> Column:
@@ -91,63 +99,104 @@ def as_text(f: Column) -> Column:
     return F.concat_ws("/", f["level"].cast("string"), digits(f["now"]), digits(f["next"]), digits(f["whole"]))
 
 
-def next_in_order(ids: DataFrame) -> DataFrame:
-    """ids (key, h) with next_key, next_h: the row after it by descending key, then h; the first after the last.
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are below the key, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    every, steps = F.array(*[F.lit(c).cast("long") for c in cuts]), len(cuts).bit_length()
+
+    def half(at: Column, _: Column) -> Column:
+        mid = ((at["lo"] + at["hi"]) / 2).cast("int")
+        below = (at["lo"] < at["hi"]) & (F.get(every, mid) < key)
+        return F.struct(F.when(below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(below, at["hi"]).otherwise(F.least(mid, at["hi"])).alias("hi"))
+
+    return F.aggregate(F.array(*[F.lit(0)] * steps), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), half, lambda at: at["lo"])
+
+
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """rows (key, h, t) with range and guest: each row once, and the first of each range in descending order of (key, h)
+    once more in the range before it, where it is a guest and the last; the first of all follows the last."""
+    n = rows.count()
+    ranges = max(1, min(RANGES, n // RANGE_ROWS))
+    cuts = []
+    if ranges > 1:
+        got = rows.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("q")).first()["q"]
+        cuts = sorted(set(got))
+    own = rows.withColumns({"range": range_of(F.col("key"), cuts), "guest": F.lit(0)})
+    tops = sorted(own.groupBy("range").agg(F.max(F.struct("key", "h")).alias("o")).collect(), key=lambda r: r["range"])  # a row a range
+    hosts = [(r["o"]["key"], r["o"]["h"], tops[(i + 1) % len(tops)]["range"]) for i, r in enumerate(tops)]
+    hosts = rows.sparkSession.createDataFrame(hosts, "key long, h long, range int")
+    guests = rows.join(F.broadcast(hosts), ["key", "h"]).dropDuplicates(["range"]).withColumn("guest", F.lit(1))  # a row a range
+    return own.select("key", "h", "t", "range", "guest").unionByName(guests.select("key", "h", "t", "range", "guest"))
+
+
+def lookup(terms: DataFrame, n: int) -> Column:
+    """The n lexicon terms as a constant: a power of two of buckets, by pmod; first where each bucket starts and where the
+    last ends, then the terms by bucket."""
+    size = 1 << max(1, n).bit_length()
+    own = F.pmod("term", F.lit(size))
+    starts = terms.sparkSession.range(size + 1).select(F.col("id").alias("b")).join(terms.groupBy((own + 1).alias("b")).agg(F.count(F.lit(1)).alias("c")), "b", "left")
+    before = F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy("b")) + size + 1
+    rows = starts.select("b", F.lit(0).alias("k"), before.alias("v")).unionByName(terms.select(own.alias("b"), F.lit(1).alias("k"), F.col("term").alias("v")))
+    return constant(rows.orderBy("k", "b", "v").select("v"))
+
+
+def in_lexicon(hashes: Column, table: Column, n: int) -> Column:
+    """Sorted 32-bit hashes of the terms that the table of n terms has."""
+    size = 1 << max(1, n).bit_length()
+
+    def known(t: Column) -> Column:
+        b = F.pmod(t, F.lit(size)).cast("int")
+        first, end = F.get(table, b).cast("int"), F.get(table, b + 1).cast("int")
+        return F.when(first < end, F.exists(F.sequence(first, end - 1), lambda i: F.get(table, i) == t)).otherwise(F.lit(False))
+
+    return F.array_sort(F.array_distinct(F.transform(F.filter(hashes, known), lambda t: F.hash(t))))
+
 
-    Rows are ranged by key; within a range a window finds the next, and the last of a range is followed by the first
-    of the next range that has rows. No task holds more than a range."""
-    ranged = materialize(ids.repartitionByRange(max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.col("key").desc(), F.col("h")).withColumn("range", F.spark_partition_id()), "ranges")
-    order = Window.partitionBy("range").orderBy(F.col("key").desc(), F.col("h"))
-    inner = ranged.withColumn("n", F.lead(F.struct("key", "h")).over(order)).withColumn("first", F.row_number().over(order) == 1)
-    firsts = inner.where("first").select("range", F.struct("key", "h").alias("o"))
-    after = Window.partitionBy(F.lit(0)).orderBy("range")
-    whole = after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = firsts.select("range", F.coalesce(F.lead("o").over(after), F.first("o").over(whole)).alias("o"))
-    return inner.join(follow, "range").select("key", "h", *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(f"next_{c}") for c in ("key", "h")])
+def _by_shuffle(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows (id, a, b: term hashes) with terms0 and terms1, as in_lexicon gives them, by a join on the term."""
+    both = F.array_distinct(F.concat("a", "b"))
+    each = rows.select("id", F.explode(F.transform(both, lambda x: F.struct(x.alias("term"), F.array_contains("a", x).alias("in0"), F.array_contains("b", x).alias("in1")))).alias("e")).select("id", "e.*")
+    hit = each.join(terms.hint("shuffle_merge"), "term").groupBy("id").agg(*[F.array_sort(F.collect_set(F.when(F.col(f"in{v}"), F.hash("term")))).alias(f"terms{v}") for v in (0, 1)])
+    none = F.array().cast("array<int>")
+    return rows.join(hit, "id", "left").withColumns({f"terms{v}": F.coalesce(f"terms{v}", none) for v in (0, 1)})
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: int = 2_000_000, **band) -> DataFrame:
-    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every different row.
+    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text: the last third (floor of n_chars / 3) replaced by as much of the start of the next document by
-    descending key, or all of it if shorter. Null texts count as empty. Rows alike in key and text are one document and
-    get the same results; rows that share only the key are ordered by a hash of the text. A null key comes last. An
-    only document is its own next. Empty input gives no rows."""
-    least = -(2**63)
+    descending key, or all of it if shorter. Null texts count as empty. Rows with one key are documents of their own,
+    ordered by a hash of the text, so the next of a repeated row is its copy. A null key comes last. An only document
+    is its own next. Empty input gives no rows; other columns are ignored. The key is a whole number."""
+    if docs.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise TypeError(f"{key} must be a whole number")
     t = F.coalesce(F.col(text), F.lit(""))
-    all_rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("key"), text_hash(t).alias("h"), t.alias("t"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), text_hash(t).alias("h"), t.alias("t"))
     terms = lexicon(docs, text, **band)
-    ids = materialize(all_rows.select("key", "h", F.length("t").alias("n")), "ids")
-    following = materialize(next_in_order(ids.select("key", "h").distinct()).join(ids.dropDuplicates(["key", "h"]), ["key", "h"]), "next")
-    need = following.select(F.col("next_key").alias("key"), F.col("next_h").alias("h"), F.struct("key", "h").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("take"))
-    heads = all_rows.join(need, ["key", "h"]).select("to", F.left("t", F.col("take")).alias("head"), "take").select(F.col("to.key").alias("key"), F.col("to.h").alias("h"), "head", "take")
-    both = all_rows.join(heads, ["key", "h"])
-    edited = F.concat(F.left("t", F.length("t") - F.col("take")), F.col("head"))
-    texts = both.select("key", "h", F.posexplode(F.array(F.col("t"), edited)).alias("variant", "t"))
-    hashed = texts.select("key", "h", "variant", F.when(F.col("variant") == 1, F.sha2("t", 256)).alias("sha"), term_hashes(F.col("t")).alias("a"))
-    mixed = F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
-    # the row that carries a text through the join has a term of its own, so that these rows spread
-    mark = F.array(F.struct(F.xxhash64("key", "h", "variant").alias("term"), F.struct(F.col("sha").alias("sha"), mixed.alias("all")).alias("info")))
-    none = F.lit(None).cast("struct<sha:string,all:bigint>")
-    rows = hashed.select("key", "h", "variant", F.explode(F.concat(mark, F.transform("a", lambda x: F.struct(x.alias("term"), none.alias("info"))))).alias("e")).select("key", "h", "variant", "e.term", "e.info")
-    terms = terms.withColumn("hit", F.lit(True))
-    kept = rows.join(F.broadcast(terms) if terms.count() <= shared else terms.hint("shuffle_merge"), "term", "left").where("hit OR info IS NOT NULL")
-    parts = []
-    for v in (0, 1):
-        mine = F.col("variant") == v
-        parts += [F.array_sort(F.collect_set(F.when(mine & F.col("info").isNull(), F.hash("term")))).alias(f"terms{v}"), F.max(F.when(mine, F.col("info.all"))).alias(f"all{v}")]
-    grouped = kept.groupBy("key", "h").agg(*parts, F.max("info.sha").alias("sha"))
-    prints = grouped.select("key", "h", "sha", fingerprint(F.col("terms0"), F.col("all0")).alias("f"), fingerprint(F.col("terms1"), F.col("all1")).alias("g"))
-    prints = materialize(prints, "fingerprints")
-    other = prints.select(F.col("key").alias("next_key"), F.col("h").alias("next_h"), F.col("f").alias("o"))
-    done = prints.join(following, ["key", "h"]).join(other, ["next_key", "next_h"])
+    order = Window.partitionBy("range").orderBy(F.col("key").desc(), F.col("h").desc(), "guest")
+    dealt = in_ranges(rows).withColumn("next_t", F.lead("t").over(order))
+    dealt = dealt.select("key", "h", "range", "guest", "t", F.length("t").alias("n"), "next_t").withColumn("take", F.floor(F.col("n") / 3).cast("int"))
+    edited = F.when(F.col("guest") == 1, F.col("t")).otherwise(F.concat(F.left("t", F.col("n") - F.col("take")), F.left(F.coalesce("next_t", F.lit("")), F.col("take"))))
+    dealt = dealt.select("key", "h", "range", "guest", "n", "t", edited.alias("edited"))
+    dealt = dealt.select("key", "h", "range", "guest", "n", F.sha2("edited", 256).alias("sha"), term_hashes(F.col("t")).alias("a"), term_hashes(F.col("edited")).alias("b"))
+    mixed = {f"all{v}": F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)) for v, c in (("0", "a"), ("1", "b"))}
+    n = terms.count()
+    if n <= shared:
+        table = lookup(terms, n)
+        dealt = dealt.withColumns({"terms0": in_lexicon(F.col("a"), table, n), "terms1": in_lexicon(F.col("b"), table, n)} | mixed)
+    else:
+        dealt = _by_shuffle(materialize(dealt.withColumn("id", F.monotonically_increasing_id()), "term-hashes"), terms).withColumns(mixed)
+    dealt = dealt.select("key", "h", "range", "guest", "n", "sha", "terms0", "terms1", "all0", "all1")
+    dealt = dealt.select("key", "h", "range", "guest", "n", "sha", fingerprint(F.col("terms0"), F.col("all0")).alias("f"), fingerprint(F.col("terms1"), F.col("all1")).alias("g"))
+    done = dealt.withColumn("o", F.lead("f").over(order)).where("guest = 0")
     key_type = docs.schema[key].dataType
     return done.select(
-        F.when(F.col("key") == least, F.lit(None)).otherwise(F.col("key")).cast(key_type).alias(key),
+        F.when(F.col("key") == NO_KEY, F.lit(None)).otherwise(F.col("key")).cast(key_type).alias(key),
         F.col("n").cast("long").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
         as_text(F.col("f")).alias("fingerprint"),
         as_text(F.col("g")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("g")).alias("near_edited"),
-        likeness(F.col("f"), F.col("o")).alias("near_next"),
+        likeness(F.col("f"), F.coalesce("o", "f")).alias("near_next"),
     )

@@ -2,6 +2,7 @@
 tables and extra columns whose names clash with the operators' own."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -336,7 +337,64 @@ def test_fingerprint_edges(spark):
     one = fingerprints.fingerprints(docs(spark, ["abc def"])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1
     same = fingerprints.fingerprints(docs(spark, ["a b c"] * 3 + ["q"], ids=[1, 1, 1, None])).collect()
-    assert sorted((r["doc_id"] or 0) for r in same) == [0, 1]
+    assert sorted((r["doc_id"] or 0) for r in same) == [0, 1, 1, 1]
+    assert sorted((r["doc_id"] or 0, r["near_next"]) for r in same)[1:3] != [] and sum(r["near_next"] == 1 for r in same) >= 2
+
+
+def test_fingerprint_ranges(spark, monkeypatch):
+    """Many small ranges give the rows that one range gives; the next document may be in another range."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "ff"], k=rng.randint(0, 9))) for _ in range(90)]
+    ids = [rng.randrange(60) for _ in texts]
+    whole = sorted(map(str, fingerprints.fingerprints(docs(spark, texts, ids=ids)).collect()))
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    assert sorted(map(str, fingerprints.fingerprints(docs(spark, texts, ids=ids)).collect())) == whole and len(whole) == 90
+    for cuts in ([], [3], [1, 4, 4, 9], list(range(0, 50, 3))):
+        got = spark.range(-2, 60).select("id", fingerprints.range_of(F.col("id"), sorted(set(cuts))).alias("r")).collect()
+        assert all(r["r"] == sum(c < r["id"] for c in set(cuts)) for r in got)
+
+
+def test_fingerprint_against_brute_force(spark, corpus):
+    """Fingerprints and both likenesses, straight from the definition, over the engine's own hash functions."""
+    texts = dict(list(corpus[1].items())[:60]) | {100_000 + i: t for i, t in enumerate(ODD)}
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs(spark, list(texts.values()), ids=list(texts))).collect()}
+    order = sorted(texts, reverse=True)
+    nxt = dict(zip(order, order[1:] + order[:1], strict=True))
+    split = lambda t: set(re.findall(r"[^\x20\x09-\x0D]+", t.lower()))
+    df = Counter(w for t in texts.values() for w in split(t or ""))
+    n = len(texts)
+    edited = {i: (texts[i] or "")[: len(texts[i] or "") - len(texts[i] or "") // 3] + (texts[nxt[i]] or "")[: len(texts[i] or "") // 3] for i in texts}
+    words_of = sorted({w for t in [*texts.values(), *edited.values()] for w in split(t or "")})
+    base = spark.createDataFrame([(w,) for w in words_of], "w string").select("w", F.xxhash64("w").alias("x")).select("w", "x", F.hash("x").alias("t"))
+    x = {r["w"]: (r["x"], r["t"]) for r in base.collect()}
+    terms = sorted({t for _, t in x.values()})
+    marks = spark.createDataFrame([(t,) for t in terms], "t int").select("t", F.xxhash64(F.lit(9), "t").alias("b"), F.xxhash64(F.lit(11), "t").alias("l"))
+    cut = {r["t"]: (r["b"], r["l"]) for r in marks.collect()}
+    lists, prints = {}, {}
+    for v, kind in (("a", {i: t or "" for i, t in texts.items()}), ("b", edited)):
+        for i, t in kind.items():
+            own = sorted({x[w][1] for w in split(t) if 3 <= df[w] <= max(3, n // 50)})
+            if not own:
+                prints[i, v] = (-1, ["all", 0 if not split(t) else None])
+                continue
+            level = max(0, math.ceil(math.log2(len(own) / 32)))
+            sets = lambda e: [tuple(t for t in own if cut[t][0] % (32 << e) == k) for k in range(32)]  # noqa: E731, B023
+            whole = [tuple(t for t in own if (cut[t][1] & 0xFFFF) >> 2 * k & 3 or not cut[t][1] & 0xFFFF) for k in range(8)]
+            prints[i, v] = (level, sets(level), sets(level + 1), whole)
+            lists[i, v] = own
+
+    def alike(a, b):
+        if a[0] < 0 or b[0] < 0 or abs(a[0] - b[0]) > 1:
+            return None if a[0] < 0 and b[0] < 0 else 0.0
+        top = max(a[0], b[0])
+        p = zip((a[1] if a[0] == top else a[2]) + a[3], (b[1] if b[0] == top else b[2]) + b[3], strict=True)
+        both = [(s, t) for s, t in p if s or t]
+        return sum(s == t for s, t in both) / len(both)
+
+    assert sum(k[1] == "a" for k in lists) > 30
+    for i in texts:
+        for name, want in (("near_edited", alike(prints[i, "a"], prints[i, "b"])), ("near_next", alike(prints[i, "a"], prints[nxt[i], "a"]))):
+            assert want is None or got[i][name] == pytest.approx(want), (i, name)
 
 
 # --- personal data

@@ -89,15 +89,17 @@ def squeezed(text: Column) -> Column:
 
 
 def constant(values: DataFrame) -> Column:
-    """The numbers of a frame with one long column, in its order, as one constant array that every task gets once. For
-    frames of a proven size only. A scalar subquery would do, but it is not allowed in higher-order functions, and as a
-    column it would be copied into every row. The array is packed, else plans would spell out every number."""
+    """The numbers of a frame with one column, long or double, in its order, as one constant array that every task gets
+    once. For frames of a proven size only. A scalar subquery would do, but it is not allowed in higher-order functions,
+    and as a column it would be copied into every row. The array is packed, else plans would spell out every number."""
     jvm = values.sparkSession._jvm
-    boxed = getattr(values._jdf, "as")(jvm.org.apache.spark.sql.Encoders.LONG()).collect()
+    kind = values.schema[0].dataType.simpleString()
+    encoder = {"bigint": "LONG", "double": "DOUBLE"}[kind]
+    boxed = getattr(values._jdf, "as")(getattr(jvm.org.apache.spark.sql.Encoders, encoder)()).collect()
     catalyst = jvm.org.apache.spark.sql.catalyst.expressions
     packed = catalyst.UnsafeArrayData.fromPrimitiveArray(jvm.org.apache.commons.lang3.ArrayUtils.toPrimitive(boxed))
-    kind = jvm.org.apache.spark.sql.types.DataType.fromDDL("array<bigint>")
-    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(catalyst.Literal(packed, kind)))
+    array = jvm.org.apache.spark.sql.types.DataType.fromDDL(f"array<{kind}>")
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(catalyst.Literal(packed, array)))
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -174,7 +174,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", share
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), text_hash(t).alias("h"), t.alias("t"))
     terms = lexicon(docs, text, **band)
-    order = Window.partitionBy("range").orderBy(F.col("key").desc(), F.col("h").desc(), "guest")
+    order = Window.partitionBy("range").orderBy("guest", F.col("key").desc(), F.col("h").desc())
     dealt = in_ranges(rows).withColumn("next_t", F.lead("t").over(order))
     dealt = dealt.select("key", "h", "range", "guest", "t", F.length("t").alias("n"), "next_t").withColumn("take", F.floor(F.col("n") / 3).cast("int"))
     edited = F.when(F.col("guest") == 1, F.col("t")).otherwise(F.concat(F.left("t", F.col("n") - F.col("take")), F.left(F.coalesce("next_t", F.lit("")), F.col("take"))))

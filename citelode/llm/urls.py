@@ -3,8 +3,9 @@
 Two smoothed Markov models of variable order (contexts of none, one and two characters, each order backing off to
 the one below) are counted over the URLs that a rule accepts and over those that a rule rejects. A URL's score is the
 difference of its log-likelihoods under the two, divided by its length. The threshold is calibrated on URLs held out
-from the counts: the score that best separates accepted from rejected ones, halfway between the nearest of either. Characters fall into 40 classes, so the
-models are one dense table of 40 ** 3 numbers however many URLs there are; executors get a copy, 1 MB.
+from the counts: the score that best separates accepted from rejected ones, halfway between the nearest of either.
+Characters fall into 40 classes, so the models are one dense table of 40 ** 3 numbers however many URLs there are: a
+constant of 512 kB that every task has, so a URL is scored where it is read and nothing is shuffled for it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citelode.llm.common import materialize
+from citelode.llm.common import constant, spare_name
 
 #: Character classes 1 to 37 (digits are one class); 0 is any other character, 39 the start.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0-._/?=&#%:"
@@ -39,7 +40,7 @@ def matched(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     host and all subdomains where the path starts with the rule's; among rules alike in length the first wins."""
     none = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     out = none
-    for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
+    for verdict, rule in sorted(reversed(rules), key=lambda r: len(r[1])):
         name, slash, rest = rule.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
         out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
@@ -73,30 +74,32 @@ def table_of(counts: DataFrame, weight: float = 4.0) -> DataFrame:
     return p2.select("cell", (F.col("accepted") - F.col("rejected")).alias("ratio"))
 
 
-def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """u and score of every different URL in column u. Each is scored once, however often it occurs."""
-    once = urls.select("u").where(F.length("u") > 0).distinct()
-    terms = once.select("u", F.explode(cells(F.col("u"))).alias("cell")).join(F.broadcast(model), "cell")  # CELLS rows
-    return terms.groupBy("u").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+def score(url: Column, model: Column) -> Column:
+    """Mean ratio of the URL's characters; 0 for a null or empty one. model: ratios by cell."""
+    one = F.array(cells(url))
+    total = F.transform(one, lambda cs: F.aggregate(cs, F.lit(0.0), lambda a, c: a + F.get(model, c)) / F.size(cs))
+    return F.coalesce(F.nanvl(F.get(total, 0), F.lit(0.0)), F.lit(0.0))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", accept: str = "allow", reject: str = "block", fold: int = 4) -> DataFrame:
-    """pages with host, path, rule, score and verdict: the rule's, else the models'.
+    """All rows and columns of pages with host, path, rule, score and verdict: the rule's, else the models'.
 
     One of fold URLs, by hash, calibrates; the others are counted. A null or empty URL scores 0. Without accepted or
-    without rejected URLs there is nothing to compare and what no rule decides is accepted."""
+    without rejected URLs there is nothing to compare and what no rule decides is accepted. Repeated rows count as often
+    as they occur and stay. Where pages has a column of one of the new names, the new one gets an underscore at its end."""
     u = F.col(url)
-    rows = pages.withColumns({"host": host(u), "path": path(u)})
-    rows = rows.withColumn("_rule", matched(F.col("host"), F.col("path"), rules))
-    known = rows.where(F.col("_rule.rule").isNotNull()).select(u.alias("u"), (F.col("_rule.verdict") == accept).alias("ok"), (F.crc32(u.cast("binary")) % fold == 0).alias("held"))
+    names = {n: spare_name(pages, n) for n in ("host", "path", "rule", "score", "verdict")}
+    found = spare_name([*pages.columns, *names.values()], "_rule")
+    rows = pages.withColumns({names["host"]: host(u), names["path"]: path(u)})
+    rows = rows.withColumn(found, matched(F.col(names["host"]), F.col(names["path"]), rules))
+    known = rows.where(F.col(found)["rule"].isNotNull()).select(u.alias("u"), (F.col(found)["verdict"] == accept).alias("ok"), (F.crc32(u.cast("binary")) % fold == 0).alias("held"))
     counts = known.where(~F.col("held")).select("ok", F.explode(cells(F.col("u"))).alias("cell")).groupBy("cell").agg(F.count(F.when(F.col("ok"), 1)).alias("accepted"), F.count(F.when(~F.col("ok"), 1)).alias("rejected"))
-    model = materialize(table_of(counts), "url-model")
+    model = constant(table_of(counts).orderBy("cell").select("ratio"))  # CELLS numbers
 
     def bin_of(s: Column) -> Column:
         return F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.floor(s * BINS))).cast("int")
 
-    scored = materialize(scores(rows.select(u.alias("u")), model), "url-scores")
-    held = known.where("held").join(scored, "u").select("ok", bin_of(F.col("score")).alias("bin"))
+    held = known.where(F.col("held") & (F.length("u") > 0)).select("ok", bin_of(score(F.col("u"), model)).alias("bin"))
     bins = held.groupBy("bin").agg(F.count(F.when(F.col("ok"), 1)).alias("a"), F.count(F.when(~F.col("ok"), 1)).alias("r")).orderBy("bin").collect()  # 2 * FAR + 1 rows at most
     good, bad = sum(b["a"] for b in bins), sum(b["r"] for b in bins)
     cut, best, a, r, last = -FAR - 1, 0.0, 0, 0, -FAR - 1
@@ -106,6 +109,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", acce
         a, r, last = a + b["a"], r + b["r"], b["bin"]
     if good and bad and 1 - a / good > best:
         cut = FAR + 1
-    rows = rows.join(scored.withColumnRenamed("u", "_u"), u == F.col("_u"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    by_model = F.when(bin_of(F.col("score")) < cut, F.lit(reject)).otherwise(F.lit(accept))
-    return rows.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce(F.col("_rule.verdict"), by_model)}).drop("_rule", "_u")
+    rows = rows.withColumn(names["score"], score(u, model))
+    by_model = F.when(bin_of(F.col(names["score"])) < cut, F.lit(reject)).otherwise(F.lit(accept))
+    return rows.withColumns({names["rule"]: F.col(found)["rule"], names["verdict"]: F.coalesce(F.col(found)["verdict"], by_model)}).drop(found)

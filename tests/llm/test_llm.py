@@ -600,6 +600,16 @@ def test_url_scores_against_brute_force(spark):
         assert got[u]["score"] == pytest.approx(want, abs=1e-9)
 
 
+def test_url_ties_and_clashing_columns(spark):
+    rules = [("block", "com/xy"), ("allow", "a.com/"), ("block", "b.com/"), ("allow", "com/zz")]
+    df = spark.createDataFrame([("http://a.com/xy", "H", "P", "R", -7.0, "V", "q")], "url string, HOST string, path string, rule string, score double, verdict string, _rule string")
+    got = urls.judge(df, rules).collect()[0].asDict()
+    assert (got["HOST"], got["path"], got["rule"], got["score"], got["verdict"], got["_rule"]) == ("H", "P", "R", -7.0, "V", "q")
+    assert (got["host_"], got["path_"], got["rule_"], got["verdict_"]) == ("a.com", "/xy", "com/xy", "block")
+    both = spark.createDataFrame([("http://b.com/zz",)], "url string")
+    assert urls.judge(both, rules).collect()[0]["rule"] == "b.com/"
+
+
 def test_urls_without_labels(spark):
     df = spark.createDataFrame([("http://a.org/",), (None,)], "url string")
     assert [r["verdict"] for r in urls.judge(df, RULES).collect()] == ["allow", "allow"]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from citelode.llm.common import by_value, plain, small_batches
+from citelode.llm.common import by_value, plain, small_batches, spare_name, tidy
 
 by_value(__name__)
 
@@ -108,9 +108,9 @@ def _bits(tree: list, grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def code_lengths(model: Model, texts: list[bytes], chunk: int = 1 << 20) -> np.ndarray:
-    """Bits of each text under each language, a row per text; whole texts, in slices of bounded size."""
-    out = np.zeros((len(texts), len(model.labels)))
+def code_lengths(trees: list, texts: list[bytes], chunk: int = 1 << 18) -> np.ndarray:
+    """Bits of each text under each language's tree, a row per text; whole texts, in slices of bounded size."""
+    out = np.zeros((len(texts), len(trees)))
     todo, size = [], 0
 
     def flush() -> None:
@@ -123,7 +123,7 @@ def code_lengths(model: Model, texts: list[bytes], chunk: int = 1 << 20) -> np.n
             for e in ends[:-1]:  # contexts that span two texts
                 keep[e - 3 : e] = False
             of = [i for i, _ in todo]
-            for j, tree in enumerate(model.trees):
+            for j, tree in enumerate(trees):
                 np.add.at(out[:, j], of, np.add.reduceat(np.where(keep, _bits(tree, grams)[at], 0), starts))
             todo.clear()
 
@@ -143,24 +143,25 @@ def predict(text: Column, model: Model, spark) -> Column:
     """Struct of lang_pred and score for a text column. ``und`` with score 0 where the text is null or has no letter,
     or where no language was learned. Ties go to the first label by code point. score: the language's share of
     2 ** -(code length) over all languages."""
-    shared = spark.sparkContext.broadcast(model)
-    small_batches(spark)
+    shared = spark.sparkContext.broadcast((list(model.labels), model.trees))  # plain lists and arrays: executors need no copy of this package
+    small_batches(spark, 256)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.pandas_udf(kind)
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        labels = np.array(m.labels, object)
+        names, trees = shared.value
+        labels = np.array(names, object)
         for texts in batches:
             raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
             if len(labels) == 0:
                 yield pd.DataFrame({"lang_pred": plain([UNKNOWN] * len(raw)), "score": np.zeros(len(raw))})
                 continue
-            bits = code_lengths(m, raw)
+            bits = code_lengths(trees, raw)
             best = bits.argmin(1)
             with np.errstate(over="ignore", under="ignore"):
                 score = 1 / np.exp2(-(bits - bits.min(1, keepdims=True))).sum(1)
             yield pd.DataFrame({"lang_pred": plain(labels[best]), "score": score})
+        tidy()
 
     found = udf(text)
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
@@ -173,6 +174,16 @@ def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def identify(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", **bounds) -> DataFrame:
-    """All rows and columns of df, with held_out, lang_pred and score; fitted on the labelled rows that are not held out."""
+    """All rows and columns of df, with held_out, lang_pred and score; fitted on the labelled rows that are not held out.
+    Where df has a column of one of these names, the new one gets an underscore at its end (see result_names). Repeated
+    rows are rows of their own; an empty df gives no rows."""
+    names = result_names(df)
+    found = spare_name([*df.columns, *names.values()], "_ppm")
     model = fit(df.where(~held_out(F.col(key))), text, label, key, **bounds)
-    return df.withColumns({"held_out": held_out(F.col(key)), "_ppm": predict(F.col(text), model, df.sparkSession)}).withColumns({"lang_pred": F.col("_ppm.lang_pred"), "score": F.col("_ppm.score")}).drop("_ppm")
+    got = df.withColumns({names["held_out"]: held_out(F.col(key)), found: predict(F.col(text), model, df.sparkSession)})
+    return got.withColumns({names[n]: F.col(found)[n] for n in ("lang_pred", "score")}).drop(found)
+
+
+def result_names(df: DataFrame) -> dict[str, str]:
+    """Names that identify gives its three columns."""
+    return {n: spare_name(df, n) for n in ("held_out", "lang_pred", "score")}

@@ -77,8 +77,8 @@ def table_of(counts: DataFrame, weight: float = 4.0) -> DataFrame:
 def score(url: Column, model: Column) -> Column:
     """Mean ratio of the URL's characters; 0 for a null or empty one. model: ratios by cell."""
     one = F.array(cells(url))
-    total = F.transform(one, lambda cs: F.aggregate(cs, F.lit(0.0), lambda a, c: a + F.get(model, c)) / F.size(cs))
-    return F.coalesce(F.nanvl(F.get(total, 0), F.lit(0.0)), F.lit(0.0))
+    total = F.transform(one, lambda cs: F.aggregate(cs, F.lit(0.0), lambda a, c: a + F.get(model, c)) / F.greatest(F.size(cs), F.lit(1)))
+    return F.get(total, 0)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", accept: str = "allow", reject: str = "block", fold: int = 4) -> DataFrame:

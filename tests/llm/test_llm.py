@@ -275,7 +275,7 @@ def measures_by_hand(t):
 
 def test_quality_measures(spark, corpus):
     texts = [*ODD, "a b c a b c a b c", "l\nl\nl\n\nm", "x # y $$ <b>", *corpus[1].values()]
-    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.measure(docs(spark, texts)).collect()}
+    got = {r["doc_id"]: tuple(r["_m"])[:5] for r in quality.measure(docs(spark, texts)).collect()}
     assert got == {i: measures_by_hand(t) for i, t in enumerate(texts)}
 
 
@@ -288,6 +288,27 @@ def test_quality_verdicts(spark):
     assert quality.judge(docs(spark, [])).count() == 0
 
 
+def test_quality_follows_the_group(spark):
+    """The same text passes where such texts are common and fails where they are not; a single symbol never decides."""
+    rng = random.Random(14)
+
+    def prose(marks):
+        ws = [f"{rng.choice('abcdef')}{rng.randint(0, 999)}x" for _ in range(120)]
+        for k in rng.sample(range(120), marks):
+            ws[k] = "#"
+        return " ".join(ws)
+
+    texts = [prose(rng.randint(10, 40)) for _ in range(40)] + [prose(0) for _ in range(400)] + [prose(30), prose(30), prose(1)]
+    got = quality.judge(docs(spark, texts, source=["code"] * 40 + ["news"] * 400 + ["code", "news", "news"], lang=["en"] * 443)).orderBy("doc_id").collect()
+    assert all(r["kept"] for r in got[:440]) and [r["kept"] for r in got[440:]] == [True, False, True]
+
+
+def test_quality_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "a b c " * 30, "en", None, 5, -1, "no", 2.5, "g") for i in range(3)], "doc_id int, text string, lang string, source string, length int, n_words int, KEPT string, symbols_most double, _m string")
+    got = quality.judge(df).collect()
+    assert len(got) == 3 and all((r["length"], r["n_words"], r["KEPT"], r["symbols_most"], r["_m"], r["n_words_"], r["kept_"]) == (5, -1, "no", 2.5, "g", 90, False) for r in got)
+
+
 # --- fingerprints
 
 
@@ -506,7 +527,7 @@ def test_code_lengths(spark):
     rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in train.items() for t in ts)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
     texts = ["the dog", "straße der katzen", "zzz\x00é", "", "a", "x" * 50]
-    got = language_id.code_lengths(model, [t.encode() for t in texts], chunk=7)
+    got = language_id.code_lengths(model.trees, [t.encode() for t in texts], chunk=7)
     want = np.array([[lengths_by_hand(train[k], t.encode()) for k in model.labels] for t in texts])
     assert model.labels == ["aa", "bb"] and np.allclose(got, want, rtol=1e-4, atol=1e-3)
 
@@ -518,10 +539,10 @@ def test_language_rare_and_many_labels(spark):
     texts = {k: [" ".join(rng.choices(ws, k=60)) for _ in range(1 if k == "l007" else 4)] for k, ws in own.items()}
     rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
-    got = language_id.code_lengths(model, [" ".join(rng.choices(ws, k=30)).encode() for ws in own.values()])
+    got = language_id.code_lengths(model.trees, [" ".join(rng.choices(ws, k=30)).encode() for ws in own.values()])
     assert model.labels == list(own) and list(got.argmin(1)) == list(range(300))
     want = [lengths_by_hand(texts[k], b"abc xyz") for k in ("l007", "l299")]
-    assert np.allclose(language_id.code_lengths(model, [b"abc xyz"])[0, [7, 299]], want, rtol=1e-4)
+    assert np.allclose(language_id.code_lengths(model.trees, [b"abc xyz"])[0, [7, 299]], want, rtol=1e-4)
 
 
 def test_language_held_out(spark):
@@ -531,8 +552,9 @@ def test_language_held_out(spark):
 
 
 def test_language_edges(spark):
-    got = language_id.identify(docs(spark, [None, "", "123 !!", "abc", "abd"], lang=["en", "en", "en", "en", None]).drop("score")).orderBy("doc_id").collect()
-    assert [r["lang_pred"] for r in got[:3]] == ["und"] * 3 and got[3]["lang_pred"] == "en"
+    got = language_id.identify(docs(spark, [None, "", "123 !!", "abc", "abd"], lang=["en", "en", "en", "en", None]).withColumn("LANG_PRED", F.lit("mine"))).orderBy("doc_id").collect()
+    assert [r["lang_pred_"] for r in got[:3]] == ["und"] * 3 and got[3]["lang_pred_"] == "en"
+    assert all(r["LANG_PRED"] == "mine" and r["score"] == "z" and 0 <= r["score_"] <= 1 for r in got)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     assert language_id.identify(docs(spark, [])).count() == 0
     assert {r["lang_pred"] for r in language_id.identify(docs(spark, ["abc"], lang=[None])).collect()} == {"und"}

@@ -96,16 +96,17 @@ n AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM q, range(3) x(k) GROUP BY d
 m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters FROM w LEFT JOIN n USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM m),
-v AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'capitals', 'lines', 'repeats', 'length']) AS measure, unnest([25, 50, 100, 100, 500]) AS spread,
+v AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'capitals', 'lines', 'repeats', 'length']) AS measure, unnest([n_symbols, n_capitals, n_dup_lines, n_repeat_words, word_chars]) AS part, unnest([1, 1, 1, 6, 0]) AS unit,
   unnest([coalesce(n_symbols * 1000 // nullif(n_words, 0), 0), coalesce(n_capitals * 1000 // nullif(n_letters, 0), 0), coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0), coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0), coalesce(word_chars * 1000 // nullif(n_words, 0), 0)])::BIGINT AS val FROM b),
 k AS (SELECT *, CASE WHEN val < 1000 THEN val ELSE val - val % (10 ** (length(val::VARCHAR) - 3))::BIGINT END AS bucket FROM v),
-own AS (SELECT lang, source, measure, count(*) AS docs, quantile_disc(bucket, 0.1) AS q10, quantile_disc(bucket, 0.5) AS q50, quantile_disc(bucket, 0.9) AS q90 FROM k WHERE NOT base_failed GROUP BY ALL),
-lng AS (SELECT lang, measure, count(*) AS docs, quantile_disc(bucket, 0.1) AS q10, quantile_disc(bucket, 0.5) AS q50, quantile_disc(bucket, 0.9) AS q90 FROM k WHERE NOT base_failed GROUP BY ALL),
-wh AS (SELECT measure, count(*) AS docs, quantile_disc(bucket, 0.1) AS q10, quantile_disc(bucket, 0.5) AS q50, quantile_disc(bucket, 0.9) AS q90 FROM k WHERE NOT base_failed GROUP BY ALL),
-h AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.docs >= 30 THEN own.q10 WHEN lng.docs >= 30 THEN lng.q10 ELSE wh.q10 END AS a, CASE WHEN own.docs >= 30 THEN own.q50 WHEN lng.docs >= 30 THEN lng.q50 ELSE wh.q50 END AS o, CASE WHEN own.docs >= 30 THEN own.q90 WHEN lng.docs >= 30 THEN lng.q90 ELSE wh.q90 END AS z
+own AS (SELECT lang, source, measure, count(*) AS docs, quantile_disc(bucket, [0.1, 0.5, 0.9]) AS q FROM k WHERE NOT base_failed GROUP BY ALL),
+lng AS (SELECT lang, measure, count(*) AS docs, quantile_disc(bucket, [0.1, 0.5, 0.9]) AS q FROM k WHERE NOT base_failed GROUP BY ALL),
+wh AS (SELECT measure, quantile_disc(bucket, [0.1, 0.5, 0.9]) AS q FROM k WHERE NOT base_failed GROUP BY ALL),
+h AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.docs >= 30 THEN own.q WHEN lng.docs >= 30 THEN lng.q ELSE wh.q END AS a, CASE WHEN lng.docs >= 30 THEN lng.q ELSE wh.q END AS z
   FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.measure = lng.measure JOIN wh ON own.measure = wh.measure),
-y AS (SELECT k.doc_id, bool_and(NOT base_failed AND coalesce(val <= o + 4 * greatest(o - a, spread) AND (k.measure <> 'length' OR val >= o - 4 * greatest(z - o, spread)), false)) AS kept
-  FROM k LEFT JOIN h ON k.lang IS NOT DISTINCT FROM h.lang AND k.source IS NOT DISTINCT FROM h.source AND k.measure = h.measure GROUP BY k.doc_id)
+f AS (SELECT lang, source, measure, greatest(a[3] + 3 * greatest(a[3] - a[2], 3), z[3] + 3 * greatest(z[3] - z[2], 3)) AS most, least(a[1] - 3 * greatest(a[2] - a[1], 3), z[1] - 3 * greatest(z[2] - z[1], 3)) AS least FROM h),
+y AS (SELECT k.doc_id, bool_and(NOT base_failed AND coalesce((val <= most OR part <= unit) AND (k.measure <> 'length' OR val >= least), false)) AS kept
+  FROM k LEFT JOIN f ON k.lang IS NOT DISTINCT FROM f.lang AND k.source IS NOT DISTINCT FROM f.source AND k.measure = f.measure GROUP BY k.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM b JOIN y USING (doc_id)
 """
 

@@ -24,9 +24,8 @@ def _matched(docs: DataFrame, found: DataFrame, value: str, name: str) -> DataFr
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter."""
-    names = docs.columns
-    got = language_id.identify(docs)
-    return got.where(F.col("lang_pred") != language_id.UNKNOWN).select(*names)
+    guess = language_id.result_names(docs)["lang_pred"]
+    return language_id.identify(docs).where(F.col(guess) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

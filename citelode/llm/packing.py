@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import by_value, small_batches
+from citelode.llm.common import by_value, small_batches, tidy
 
 by_value(__name__)
 
@@ -32,7 +32,7 @@ class Packer:
     """Capacities of a sequence. add() takes examples and returns pieces (example, start, length, sequence, offset)."""
 
     tokens: int = 2048
-    segments: int = 512
+    segments: int = 128
     loss: int = 2048
     window: int = 256
     sequence: int = 0
@@ -103,48 +103,84 @@ class Packer:
 class Tokens:
     """Ids of texts under a tokenizers file, as little-endian unsigned 32-bit bytes.
 
-    With the same vocabulary as ranks, texts go through the quicker library; both give the same ids. Where no two
-    white-space characters meet, the split pattern needs no look-ahead. Texts with a special token's string go
-    through the file itself."""
+    The file's pre-tokenizer (byte level, with its usual split pattern) ends a piece before every space that a character
+    other than white space follows, so a text is cut there, and each different piece goes through the tokenizer once;
+    the pieces seen last are kept, in two generations of bounded size. A text with a special token's string, or with a control character that
+    only some regular-expression libraries count as white space, goes through the tokenizer whole, and so do all
+    texts where the file has a normalizer or another pre-tokenizer."""
 
-    def __init__(self, file: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(file)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        self.full = self.plain = None
-        if ranks:
-            import base64
-
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.full = tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-            self.plain = tiktoken.Encoding("plain", pat_str=pattern.removesuffix(r"|\s+(?!\S)|\s+") + r"|\s", mergeable_ranks=table, special_tokens={})
-
-    def __call__(self, text: str) -> bytes:
+    def __init__(self, file: str, kept: int = 300_000):
+        import json
+        import os
         import re
 
-        if self.full is None or any(s in text for s in self.special):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        one = self.full if re.search(r"\s\s", text) or not self.full._pat_str.endswith(r"|\s+(?!\S)|\s+") else self.plain
-        return one.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", end_id: int = 1, tokens: int = 2048, segments: int = 512) -> DataFrame:
-    """Pieces of all rows: key, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every token bears loss.
+        self.exact = Tokenizer.from_file(file)
+        with open(file, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        cuttable = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        special = [re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(["[\x1c-\x1f\x85]", *special]) if cuttable else "")
+        self.odd = re.compile(r"^ | \s").search
+        self.cut = re.compile(r"(?= \S)").split
+        self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.kept = kept
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.exact.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keys(self, text: str) -> list[str]:
+        """The pieces, without the space that starts them; one that does not start with a space has one put before it."""
+        if not text:
+            return []
+        if not self.odd(text):
+            first, *rest = text.split(" ")
+            return [" " + first, *rest]
+        return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else " " + p for p in self.cut(text) if p]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.seen) > self.kept:
+            self.before, self.seen = self.seen, {}
+        whole = [bool(self.whole.search(t)) for t in texts]
+        pieces, ends = [], []
+        for t, w in zip(texts, whole, strict=True):
+            if not w:
+                pieces += self._keys(t)
+            ends.append(len(pieces))
+        ids = list(map(self.seen.get, pieces))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = {pieces[i]: None for i in missing}
+        for p in new.keys() & self.before.keys():
+            self.seen[p] = self.before[p]
+            del new[p]
+        new = list(new)
+        for at in range(0, len(new), 8192):
+            part = new[at : at + 8192]
+            self.seen.update(zip(part, self._encode([k[1:] if k.startswith(" ") else " " + k for k in part]), strict=True))
+        for i in missing:
+            ids[i] = self.seen[pieces[i]]
+        full = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
+        return [next(full) if w else b"".join(ids[a:b]) for a, b, w in zip([0, *ends], ends, whole)]  # noqa: B905
+
+
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", end_id: int = 1, tokens: int = 2048, segments: int = 128, window: int = 256) -> DataFrame:
+    """Pieces of all rows: key, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every token bears loss, so that
+    limit is the one on tokens; the one on segments is below the window, so it holds where many examples are short.
 
     A null text counts as empty and gives the end id alone; a null key stays null; rows with the same key are
     examples of their own. sequence_id is the input partition times 2 ** 36 plus a counter."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 256)
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers as public
 
-        encode = Tokens(public.path(f"{vocabulary}.json"), public.path(f"{vocabulary}.tiktoken"), public.PATTERN)
-        packer = Packer(tokens, segments, tokens, sequence=TaskContext.get().partitionId() << 36)
+        encode = Tokens(public.path(f"{vocabulary}.json"))
+        packer = Packer(tokens, segments, tokens, window, sequence=TaskContext.get().partitionId() << 36)
         end = np.array([end_id], "<u4").tobytes()
 
         def rows(pieces: list[tuple]) -> list[tuple]:
@@ -153,17 +189,19 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
         names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for b in batches:
             out: list[tuple] = []
-            for k, t in zip(b["key"].astype(object), b["text"], strict=True):
-                ids = (encode(t) if t else b"") + end
+            for k, ids in zip(b["key"].astype(object), encode([t or "" for t in b["text"]]), strict=True):
+                ids += end
                 out += rows(packer.add((None if k is pd.NA or k != k else k, ids), len(ids) // 4))
             yield pd.DataFrame(out, columns=names).astype({"key": object})
         yield pd.DataFrame(rows(packer.finish()), columns=names).astype({"key": object})
+        del encode, packer
+        tidy()
 
     got = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {key_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return got.withColumnRenamed("key", key)
 
 
-def pack_examples(df: DataFrame, key: str, ids: str, loss_mask: str, tokens: int = 2048, segments: int = 512, loss: int = 2048) -> DataFrame:
+def pack_examples(df: DataFrame, key: str, ids: str, loss_mask: str, tokens: int = 2048, segments: int = 128, loss: int = 2048) -> DataFrame:
     """Instruction data: ids (array<int>) and loss_mask (array<int>, 1 where a token bears loss; null: all do).
     Returns key, start, length, loss_tokens, sequence_id, offset. Null or empty ids give no piece."""
 

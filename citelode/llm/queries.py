@@ -13,30 +13,55 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive in 40 appends at once, 32 small and 8 four times as large; one compaction; every document
-    as read back from the shard where the last version has it."""
+    """All documents arrive in blocks of 4,096 ids, eight arrivals of 256 and one of 2,048 each, so arrivals stay small and
+    grow in number with the input; every other one with the first append, the rest with the second. Compaction runs to its
+    end after each, and what it replaced is expired. Every document as read back, with its shard's rows, bytes and least id."""
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, fresh_path(spark, "shards"))
-    slot = F.pmod(F.col("doc_id"), F.lit(64))
-    store.append(docs, F.when(slot < 32, slot).otherwise(32 + F.floor((slot - 32) / 4)), F.floor(F.col("doc_id") / 64))
-    store.compact()
-    live = store.manifest().select(F.col("shard").alias("_shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
-    return store.read().join(live, "_shard").select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("_shard").alias("shard"), "shard_rows", "shard_bytes")
-
-
-OP1_SQL = """
-WITH d AS (SELECT *, coalesce(octet_length(encode(text)), 0) AS b, CASE WHEN doc_id % 64 < 32 THEN doc_id % 64 ELSE 32 + (doc_id % 64 - 32) // 4 END AS arrival FROM documents),
-p AS (SELECT arrival, greatest(1, (sum(b) + 134217727) // 134217728) AS parts FROM d GROUP BY arrival),
-e AS (SELECT d.*, 'a' || lpad(arrival::VARCHAR, 6, '0') || '-' || lpad(((doc_id // 64) % parts)::VARCHAR, 4, '0') AS first_shard FROM d JOIN p USING (arrival)),
-s AS (SELECT first_shard, count(*) AS n, sum(b) AS b FROM e GROUP BY first_shard),
-t AS (SELECT *, (SELECT coalesce(min(k), 12) FROM range(12) r(k) WHERE s.b * (4 ** k) >= 134217728) AS tier FROM s),
-u AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY tier ORDER BY first_shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 134217728 AS run FROM t),
-v AS (SELECT *, count(*) OVER w AS c, sum(b) OVER w AS total, sum(n) OVER w AS all_rows FROM u WINDOW w AS (PARTITION BY tier, run)),
-x AS (SELECT first_shard, CASE WHEN tier > 0 AND c > 1 AND (c >= 4 OR total >= 134217728) THEN 'm000002-' || lpad(tier::VARCHAR, 2, '0') || '-' || lpad(run::BIGINT::VARCHAR, 6, '0') ELSE first_shard END AS shard,
-  CASE WHEN tier > 0 AND c > 1 AND (c >= 4 OR total >= 134217728) THEN all_rows ELSE n END::BIGINT AS shard_rows,
-  CASE WHEN tier > 0 AND c > 1 AND (c >= 4 OR total >= 134217728) THEN total ELSE b END::BIGINT AS shard_bytes FROM v)
-SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, shard, shard_rows, shard_bytes FROM e JOIN x USING (first_shard)
-"""
+    at = F.pmod(F.col("doc_id"), F.lit(4096))
+    arrival = F.floor(F.col("doc_id") / 4096) * 9 + F.when(at < 2048, F.floor(at / 256)).otherwise(8)
+    for half in (0, 1):
+        store.append(docs.where(F.pmod(arrival, F.lit(2)) == half), arrival, F.col("doc_id"))
+        store.compact_all()
+        store.expire()
+    rows = store.read(as_column="place")
+    least = rows.groupBy("place").agg(F.min("doc_id").alias("shard_least"))
+    live = store.manifest().select(store.place(F.col("folder"), F.col("group"), F.col("part")).alias("place"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
+    shards = live.join(least, "place")
+    small = rows.select("place", "doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return small.join(F.broadcast(shards) if live.count() <= sharding.LISTED else shards, "place").drop("place")
+
+
+def _op1_sql() -> str:
+    """Shards as sets of first shards (one an arrival and part) with version, group and part; two appends, three rounds of
+    merges after each, which are more than these sizes need. A round that merges nothing changes nothing."""
+    parts = [
+        """d AS (SELECT *, coalesce(octet_length(encode(text)), 0) AS b, doc_id // 4096 * 9 + CASE WHEN doc_id % 4096 < 2048 THEN doc_id % 4096 // 256 ELSE 8 END AS arrival FROM documents)""",
+        """p AS (SELECT arrival, greatest(1, (sum(b) + 134217727) // 134217728) AS parts FROM d GROUP BY arrival)""",
+        """e AS (SELECT d.*, doc_id % parts AS part FROM d JOIN p USING (arrival))""",
+        """s AS (SELECT arrival, part, count(*) AS n, sum(b) AS b FROM e GROUP BY ALL)""",
+        """c0 AS (SELECT arrival, part, n, b, 1 AS v, arrival AS g, part AS q FROM s WHERE arrival % 2 = 0)""",
+    ]
+    last, v = "c0", 1
+    for half in (0, 1):
+        if half:
+            v += 1
+            parts.append(f"a{v} AS (SELECT * FROM {last} UNION ALL SELECT arrival, part, n, b, {v}, arrival, part FROM s WHERE arrival % 2 = 1)")
+            last = f"a{v}"
+        for _ in range(3):
+            v += 1
+            parts += [
+                f"t{v} AS (SELECT v, g, q, sum(b) AS b, (SELECT coalesce(min(k), 12) FROM range(12) r(k) WHERE sum(x.b) * (4 ** k) >= 134217728) AS tier FROM {last} x GROUP BY ALL)",
+                f"u{v} AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY tier ORDER BY v, g, q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 134217728 AS run FROM t{v})",
+                f"w{v} AS (SELECT *, tier > 0 AND count(*) OVER w > 1 AND (count(*) OVER w >= 4 OR sum(b) OVER w >= 134217728) AS merges FROM u{v} WINDOW w AS (PARTITION BY tier, run))",
+                f"c{v} AS (SELECT arrival, part, n, x.b, CASE WHEN merges THEN {v} ELSE x.v END AS v, CASE WHEN merges THEN tier ELSE x.g END AS g, CASE WHEN merges THEN run ELSE x.q END AS q FROM {last} x JOIN w{v} USING (v, g, q))",
+            ]
+            last = f"c{v}"
+    parts.append(f"f AS (SELECT e.*, v, g, q, count(*) OVER z AS shard_rows, (sum(e.b) OVER z)::BIGINT AS shard_bytes, min(doc_id) OVER z AS shard_least FROM e JOIN {last} USING (arrival, part) WINDOW z AS (PARTITION BY v, g, q))")
+    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, shard_rows, shard_bytes, shard_least FROM f"
+
+
+OP1_SQL = _op1_sql()
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

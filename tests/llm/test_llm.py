@@ -66,18 +66,46 @@ def test_sharding_plan_and_round_trip(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1000, size_of="text")
     assert store.version() == 0 and store.manifest().count() == 0
     store.append(d, F.col("doc_id") % 23, F.col("doc_id"))
-    sizes = {r["shard"]: r["bytes"] for r in store.manifest().collect()}
+    sizes = {(r["group"], r["part"]): r["bytes"] for r in store.manifest().collect()}
     assert sum(sizes.values()) == sum(len(t or "") for t in texts)
-    plan = {r["shard"]: r["into"] for r in store.plan(store.manifest()).collect()}
-    want = plan_by_hand(sizes, 1000, 4, 12)
-    assert {k: v is not None for k, v in plan.items()} == {k: v is not None for k, v in want.items()}
-    groups = lambda p: sorted(sorted(k for k in p if p[k] == g) for g in {v for v in p.values() if v is not None})
-    assert groups(plan) == groups(want)
+    plan = {(r["group"], r["part"]): None if r["run"] is None else (r["tier"], r["run"]) for r in store.plan(store.manifest()).collect()}
+    assert plan == plan_by_hand(sizes, 1000, 4, 12)
     assert store.compact_all() >= 2
-    back = store.read().drop("_shard")
-    assert sorted(back.columns) == sorted(d.columns)
-    assert back.select(*d.columns).exceptAll(d).count() == 0 and back.count() == d.count()
+    back = store.read()
+    assert back.columns == d.columns
+    assert back.exceptAll(d).count() == 0 and back.count() == d.count()
     assert store.read(1).count() == d.count()  # the first version is still whole
+    store.expire()
+    assert store.versions() == [store.version()] and store.read().exceptAll(d).count() == 0 and store.read().count() == d.count()
+    assert store.append(docs(spark, []), F.lit(0), F.col("doc_id")) == store.version() and store.read().count() == d.count()
+
+
+def test_sharding_beyond_any_width(spark, tmp_path):
+    """Numbers of arrivals, parts and runs of many digits, and arrivals alike in their first digits, stay apart."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=100, size_of="text")
+    d = docs(spark, ["y" * 10] * 64, ids=[10**12 + i for i in range(64)])
+    arrival = F.when(F.col("doc_id") % 2 == 0, 1_000_000).otherwise(F.when(F.col("doc_id") % 4 == 1, 100_000).otherwise(10**15))
+    store.append(d, arrival, F.col("doc_id"))
+    assert {(r["group"], r["rows"]) for r in store.manifest().groupBy("group").agg(F.sum("rows").alias("rows")).collect()} == {(1_000_000, 32), (100_000, 16), (10**15, 16)}
+    store.append(d, F.lit(1_000_000), F.col("doc_id"))  # the same arrival number again is another write
+    store.compact_all()
+    assert store.read().count() == 128 and store.read().distinct().count() == 64
+    fine = sharding.ShardStore(spark, f"file://{tmp_path}/f", target_bytes=1, size_of="text")
+    fine.append(docs(spark, ["z" * 20_000, "z" * 7]), F.lit(3), F.col("doc_id") * 15_000)
+    assert sorted(r["shard"] for r in fine.manifest().collect()) == ["a3-0", "a3-15000"]
+
+
+def test_sharding_clashing_columns_and_new_ones(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1000)
+    first = spark.createDataFrame([("a", 1, "f", 2.0, "p", "q")], "text string, _bytes int, _folder string, _group double, _PART string, _part_ string")
+    store.append(first, F.lit(1), F.lit(0))
+    store.append(spark.createDataFrame([("b", 5)], "text string, shard int"), F.lit(None), F.lit(None))
+    store.compact()
+    got = {r["text"]: r.asDict() for r in store.read(as_column="place").collect()}
+    assert {k: v for k, v in got["a"].items() if k != "place"} == {"text": "a", "_bytes": 1, "_folder": "f", "_group": 2.0, "_PART": "p", "_part_": "q", "shard": None}
+    assert got["b"]["shard"] == 5 and got["b"]["_bytes"] is None and got["b"]["place"] != got["a"]["place"]
+    with pytest.raises(TypeError):
+        store.append(spark.createDataFrame([(1,)], "text int"), F.lit(2), F.lit(0))
 
 
 def test_sharding_conflict_and_empty(spark, tmp_path):
@@ -86,7 +114,14 @@ def test_sharding_conflict_and_empty(spark, tmp_path):
     assert store.compact() == 1
     with pytest.raises(sharding.Conflict):
         store.commit(0, store.manifest())
-    assert store.version() == 1
+    assert store.version() == 1 and store.read().columns == docs(spark, []).columns and store.read().count() == 0
+
+
+def test_sharding_query_on_no_documents(spark, tmp_path):
+    from citelode.llm import queries
+
+    docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op1_sharding(spark, str(tmp_path)).count() == 0
 
 
 # --- mixing

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import by_value, materialize, plain, small_batches, text_hash
+from citelode.llm.common import batches_of, by_value, materialize, plain, text_hash, tidy
 from citelode.llm.components import components
 
 by_value(__name__)
@@ -34,6 +34,7 @@ SLOTS = 9  # coordinates of each level below the roots
 LIMIT = 24
 DENSE = 0.6
 BLOCK = 2 << 20
+SALTS = 16  # shares of a node's rows, where rows are matched with what is known of their node
 PIVOTS = 1
 SHINGLE = 5
 NO_KEY = -(2**63)
@@ -46,7 +47,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -73,7 +74,7 @@ def _family() -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 2**32, TOKENS, np.uint32)[:, None], (r.integers(0, 2**31, TOKENS, np.uint32) * 2 + 1).astype(np.uint32)[:, None]
 
 
-def minwise(s: np.ndarray, family: tuple[np.ndarray, np.ndarray], slab: int = 1 << 15) -> np.ndarray:
+def minwise(s: np.ndarray, family: tuple[np.ndarray, np.ndarray], slab: int = 1 << 13) -> np.ndarray:
     out, x = np.full(TOKENS, 2**32 - 1, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(x), slab):
         out = np.minimum(out, ((x[None, at : at + slab] ^ family[0]) * family[1]).min(1))
@@ -94,6 +95,8 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 s = shingles(t, cache)
                 rows.append((len(s), xxhash.xxh128_hexdigest(s.tobytes()) if len(s) else None, minwise(s, family).view(np.int32) if len(s) else None))
             yield pd.DataFrame({"k": b["k"].astype(object).where(b["k"].notna(), None), "h": b["h"], "n": [r[0] for r in rows], "cls": plain(r[1] for r in rows), "tokens": plain(r[2] for r in rows)})
+        del cache
+        tidy()
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), text_hash(F.col(text)).alias("h"))
     got = rows.mapInPandas(run, f"k {key_type}, h long, n long, cls string, tokens array<int>")
@@ -139,6 +142,7 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             both = int((big[np.minimum(at, len(big) - 1)] == small).sum())
             ok.append(100 * both >= 85 * (len(x) + len(y) - both))
         yield b.loc[ok, ["a", "b"]]
+    tidy()
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -152,6 +156,8 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
             sets = [shingles(t, cache).tobytes() for t in b["t"]]
             own = [xxhash.xxh128_hexdigest(s) == c for s, c in zip(sets, b["cls"], strict=True)]
             yield pd.DataFrame({"id": b["id"], "s": plain(sets)})[own]
+        del cache
+        tidy()
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("t"))
     return materialize(rows.join(wanted, "key").select("id", "cls", "t").mapInPandas(run, "id long, s binary").dropDuplicates(["id"]), "sets", "lz4")
@@ -165,7 +171,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     step = classes.select("id", root).select(F.xxhash64("t", "v").alias("path"), "id", F.lit(2**62).alias("above"))
     for depth in range(1, DEPTH + 1):
         sizes = step.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.max("above").alias("above")).where("size > 1")
-        alive = materialize(step.select("path", "id").join(sizes, "path"), "nodes")
+        alive = materialize(_of_node(step.select("path", "id"), sizes), "nodes")
         is_dense = (F.col("size") >= DENSE * F.col("above")) | F.lit(depth == DEPTH)
         small_parts.append(alive.where(F.col("size") <= LIMIT).select("path", "id"))
         dense_parts.append(alive.where((F.col("size") > LIMIT) & is_dense).select("path", "id"))
@@ -189,10 +195,18 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     dense = materialize(dense, "dense-nodes")
     tops = dense.groupBy("path").agg(*[F.min_by("id", F.xxhash64("path", "id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
     pivots = tops.select("path", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
-    stars = dense.join(pivots, "path").where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    stars = _of_node(dense, pivots).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
     return pairs.unionByName(_sketched(stars, classes)).distinct(), dense
 
 
+def _of_node(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows (path, id, ...) with what nodes knows of their path, one row a path. A node's rows are dealt by shares of their
+    ids, so a large node is not one task's."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    every = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, ["path", "salt"]).drop("salt")
+
+
 def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     c = classes.select("id", "n", "sketch")
     x = c.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
@@ -254,6 +268,7 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     _, first = np.unique(yr[linked], return_index=True)
                     out += [(int(i), int(yi[k])) for k in linked[first]]
         yield pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+    tidy()
 
 
 def _rest(dense: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -266,16 +281,18 @@ def _rest(dense: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFram
     parts = named.groupBy("path", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
     most = parts.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all_n"), F.max_by("n", F.struct("c", "root")).alias("main_n"))
     open_nodes = most.where("roots > 1").select("path", "main", F.ceil(F.col("all_n") * 8 / BLOCK).alias("right"), F.ceil((F.col("all_n") - F.col("main_n")) * 8 / BLOCK).alias("left"))
-    rows = named.join(open_nodes, "path").join(sets, "id")
+    rows = _of_node(named, open_nodes).join(sets, "id")
 
     def blocks(df: DataFrame, side: str, name: str) -> DataFrame:
         m = F.collect_list(F.struct("id", "root", "s")).alias("m")
-        grouped = df.groupBy("path", F.pmod(F.xxhash64("id"), F.col(side)).alias("block")).agg(m)
-        return grouped.select("path", F.col("m.id").alias(f"{name}i"), F.col("m.root").alias(f"{name}r"), F.col("m.s").alias(f"{name}s"))
-
-    small_batches(spark, 4)
-    links = materialize(blocks(rows.where("root <> main"), "left", "x").join(blocks(rows, "right", "y"), "path").mapInPandas(_across, "a long, b long"), "rest-links")
-    small_batches(spark, 256)
+        grouped = df.groupBy("path", F.pmod(F.xxhash64("id"), F.col(side)).alias(f"{name}b")).agg(m)
+        return grouped.select("path", f"{name}b", F.col("m.id").alias(f"{name}i"), F.col("m.root").alias(f"{name}r"), F.col("m.s").alias(f"{name}s"))
+
+    # a pair of blocks is a row of its own key, so that a node's pairs go to many tasks
+    meet = open_nodes.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)).alias("xb"), F.col("right")).select("path", "xb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("right") - 1)).alias("yb"))
+    pairs = meet.join(blocks(rows.where("root <> main"), "left", "x"), ["path", "xb"]).join(blocks(rows, "right", "y"), ["path", "yb"])
+    with batches_of(spark, 4):
+        links = materialize(pairs.mapInPandas(_across, "a long, b long"), "rest-links")
     if links.isEmpty():
         return roots
     return components(links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
@@ -286,9 +303,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Rows are linked where 100 * common shingles >= 85 * shingles of either. component_id: the least key reachable.
     Null, empty and blank texts have no shingles and no links, and are kept. Rows with one key and different texts are
-    linked by their texts alone. A null key stands below all others and stays null. Extra columns are ignored."""
-    spark = docs.sparkSession
-    small_batches(spark, 256)
+    linked by their texts alone. The key is a whole number; a null key stands below all others and stays null. Extra
+    columns, whatever their names, are ignored. An empty docs gives no rows."""
+    if docs.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise TypeError(f"{key} must be a whole number")
+    with batches_of(docs.sparkSession, 256):
+        return _near_duplicates(docs, key, text)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = materialize(signatures(docs, key, text), "signatures")
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     low = F.transform("tokens", lambda t: F.substring(F.hex(t.cast("long").bitwiseAND(255) + 256), 2, 2))

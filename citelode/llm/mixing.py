@@ -46,7 +46,8 @@ def targets(sizes: DataFrame, epochs: int = 3, cycle: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", epochs: int = 3) -> DataFrame:
-    """key, source, size, source_size, target, copies (how often the mix takes it) and text_hash of each row.
+    """key, source, size, source_size, target, copies (how often the mix takes it), finish (the virtual finish times of
+    the copies taken, array<double>), shuffle (the hash that breaks ties) and text_hash of each row. in_order gives the mix.
 
     Null texts have size 0 and count 0 words taken; a null source is a source; a null key shuffles as the empty
     text; equal rows are rows of their own. Empty input gives no rows. The same rows give the same mix."""
@@ -85,5 +86,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         cut = F.struct(*[F.lit(first[n]).cast(t).alias(n) for n, t in (("f", "double"), ("rank", "int"), ("h", "string"), ("k", "string"), ("e", "int"), ("size", "long"))])
         own = F.coalesce(F.col("key").cast("string"), F.lit(""))
         taken = sum((F.when(F.struct(finish(e).alias("f"), F.col("rank"), F.col("h"), own.alias("k"), F.lit(e).alias("e"), F.col("size")) < cut, 1).otherwise(0) for e in range(epochs)), F.lit(0))
-        return rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.alias("copies"), "text_hash")
-    return rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.lit(epochs).alias("copies"), "text_hash")
+        rows = rows.withColumn("copies", taken)
+    if "copies" not in rows.columns:
+        rows = rows.withColumn("copies", F.lit(epochs))
+    times = F.slice(F.array(*[finish(e) for e in range(epochs)]), F.lit(1), F.col("copies"))
+    return rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", times.alias("finish"), F.col("h").alias("shuffle"), "text_hash")
+
+
+def in_order(rows: DataFrame, finish: str, shuffle: str) -> DataFrame:
+    """rows, each as often as it has finish times, ranged and sorted by finish time, then shuffle: the interleaved mix.
+    The two columns are dropped."""
+    each = rows.withColumn(finish, F.explode(finish))
+    return each.orderBy(finish, shuffle).drop(finish, shuffle)

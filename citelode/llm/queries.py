@@ -66,7 +66,8 @@ OP1_SQL = _op1_sql()
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    mixed = mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.get("finish", F.lit(0)).alias("first_finish"), "shuffle")
+    return mixed.orderBy(F.col("first_finish").asc_nulls_last(), "shuffle").drop("shuffle")  # the mix, each document at its first copy
 
 
 OP2_SQL = r"""
@@ -81,7 +82,7 @@ t AS (SELECT source, source_size, rnk, CASE WHEN sated THEN (3 * source_size)::D
 r AS (SELECT d.*, source_size, rnk, target, total, sum(size) OVER (PARTITION BY rnk ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 i AS (SELECT r.*, e, CASE WHEN target > 0 THEN (source_size * e + run)::DOUBLE / target ELSE 0 END AS f FROM r, range(3) x(e)),
 c AS (SELECT *, sum(size) OVER (ORDER BY f, rnk, h, doc_id::VARCHAR, e, size ROWS UNBOUNDED PRECEDING) AS total_to FROM i)
-SELECT doc_id, size, source_size, target, sum(CASE WHEN total_to <= total THEN size ELSE 0 END)::BIGINT AS taken FROM c GROUP BY doc_id, h, size, source_size, target, run
+SELECT doc_id, size, source_size, target, sum(CASE WHEN total_to <= total THEN size ELSE 0 END)::BIGINT AS taken, min(CASE WHEN total_to <= total THEN f END) AS first_finish FROM c GROUP BY doc_id, h, size, source_size, target, run
 """
 
 

@@ -164,6 +164,21 @@ def test_mixing_targets_and_totals(spark):
     assert again == {i: r["copies"] for i, r in got.items()}
 
 
+def test_mixing_in_order(spark):
+    """The mix interleaves: every source's share of any long stretch is near its target's."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), rng.choice("aaab")) for i in range(400)]
+    got = mixing.in_order(mixing.mix(docs(spark, [r[1] for r in rows], source=[r[2] for r in rows])), "finish", "shuffle").select("source", "size", "target").collect()
+    total = sum(r["size"] for r in got)
+    share = {r["source"]: r["target"] for r in got}
+    run, seen = Counter(), 0
+    for r in got:
+        run[r["source"]] += r["size"]
+        seen += r["size"]
+        assert all(abs(run[s] - seen * share[s] / sum(share.values())) <= 60 for s in share)
+    assert seen == total
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r["copies"] * r["size"] for r in mixing.mix(docs(spark, [None, ""])).collect()] == [0, 0]

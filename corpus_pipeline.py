@@ -14,11 +14,11 @@ def _keys(frame: DataFrame, names: tuple[str, str], h: Column) -> DataFrame:
     return frame.withColumns({names[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), names[1]: F.xxhash64(F.col("doc_id").isNull(), h)})
 
 
-def _matched(docs: DataFrame, found: DataFrame, value: str, name: str) -> DataFrame:
-    """Different rows of docs by doc_id and text, with the found value for them (doc_id, text_hash, value) as name.
-    The texts move once: the join and the removal of repeated rows go by the same keys."""
+def _matched(docs: DataFrame, found: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Different rows of docs by doc_id and text, with the found values for them (doc_id, text_hash and the keys of values)
+    under the names that values gives. The texts move once: the join and the removal of repeated rows go by the same keys."""
     keys = (spare_name(docs, "_row_id"), spare_name(docs, "_row_hash"))
-    f = _keys(found.withColumnRenamed(value, name), keys, F.col("text_hash")).select(*keys, name)
+    f = _keys(found, keys, F.col("text_hash")).select(*keys, *[F.col(c).alias(n) for c, n in values.items()])
     return _keys(docs, keys, text_hash(F.col("text"))).join(f, list(keys)).dropDuplicates(list(keys)).drop(*keys)
 
 
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps the document with the least id of each group of near copies; rows alike in id and text stay once."""
     found = near_dedup.near_duplicates(docs).where("kept")
     kept = found.groupBy("doc_id", "text_hash").agg(F.lit(True).alias("kept"))
-    return _matched(docs, kept, "kept", "_kept").select(*docs.columns)
+    return _matched(docs, kept, {"kept": spare_name(docs, "_kept")}).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; those it does not take go."""
-    found = mixing.mix(docs).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    copies = spare_name(docs, "_copies")
-    return _matched(docs, found, "copies", copies).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+    """Repeats each document as often as the mix takes it, in the mix's order; those it does not take go. Rows alike in id
+    and text are one document of as many copies as they have together."""
+    found = mixing.mix(docs).groupBy("doc_id", "text_hash").agg(F.sort_array(F.flatten(F.collect_list("finish"))).alias("finish"), F.min("shuffle").alias("shuffle"))
+    names = {n: spare_name(docs, f"_{n}") for n in ("finish", "shuffle")}
+    rows = _matched(docs, found.where(F.size("finish") > 0), names)
+    return mixing.in_order(rows, *names.values()).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

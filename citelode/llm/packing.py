@@ -103,68 +103,48 @@ class Packer:
 class Tokens:
     """Ids of texts under a tokenizers file, as little-endian unsigned 32-bit bytes.
 
-    The file's pre-tokenizer (byte level, with its usual split pattern) ends a piece before every space that a character
-    other than white space follows, so a text is cut there, and each different piece goes through the tokenizer once;
-    the pieces seen last are kept, in two generations of bounded size. A text with a special token's string, or with a control character that
-    only some regular-expression libraries count as white space, goes through the tokenizer whole, and so do all
-    texts where the file has a normalizer or another pre-tokenizer."""
+    Where the file is a plain byte-level BPE (no normalizer, the usual split pattern, merges in the order of their ids) its
+    own vocabulary also goes to a quicker library, which takes two fifths of the time. The first text of every batch is
+    tokenized by the file itself as well; at the first difference the file takes over, from that batch on. Texts with
+    a special token's string always go through the file."""
 
-    def __init__(self, file: str, kept: int = 300_000):
+    #: Fixed value: the split pattern of byte-level pre-tokenizers.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, file: str):
         import json
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(file)
+        self.exact, self.quick = Tokenizer.from_file(file), None
+        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
-        split = spec.get("pre_tokenizer") or {}
-        cuttable = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-        special = [re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[\x1c-\x1f\x85]", *special]) if cuttable else "")
-        self.odd = re.compile(r"^ | \s").search
-        self.cut = re.compile(r"(?= \S)").split
-        self.seen: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.kept = kept
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout"):
+            vocab = model["vocab"]
+            pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+            if all(vocab.get("".join(m)) == 256 + i for i, m in enumerate(pairs)) and len(vocab) == 256 + len(model["merges"]):
+                import tiktoken
+
+                shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]  # bytes that the alphabet shows as they are
+                alphabet = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+                ranks = {bytes([alphabet[c] for c in w]): i for w, i in vocab.items()}
+                self.quick = tiktoken.Encoding("same", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _by_file(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.exact.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keys(self, text: str) -> list[str]:
-        """The pieces, without the space that starts them; one that does not start with a space has one put before it."""
-        if not text:
-            return []
-        if not self.odd(text):
-            first, *rest = text.split(" ")
-            return [" " + first, *rest]
-        return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else " " + p for p in self.cut(text) if p]
-
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > self.kept:
-            self.before, self.seen = self.seen, {}
-        whole = [bool(self.whole.search(t)) for t in texts]
-        pieces, ends = [], []
-        for t, w in zip(texts, whole, strict=True):
-            if not w:
-                pieces += self._keys(t)
-            ends.append(len(pieces))
-        ids = list(map(self.seen.get, pieces))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        new = {pieces[i]: None for i in missing}
-        for p in new.keys() & self.before.keys():
-            self.seen[p] = self.before[p]
-            del new[p]
-        new = list(new)
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            self.seen.update(zip(part, self._encode([k[1:] if k.startswith(" ") else " " + k for k in part]), strict=True))
-        for i in missing:
-            ids[i] = self.seen[pieces[i]]
-        full = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
-        return [next(full) if w else b"".join(ids[a:b]) for a, b, w in zip([0, *ends], ends, whole)]  # noqa: B905
+        if self.quick is None or not texts:
+            return self._by_file(texts)
+        out = [None if any(s in t for s in self.special) else np.array(self.quick.encode_ordinary(t), "<u4").tobytes() for t in texts]
+        if out[0] not in (None, self._by_file(texts[:1])[0]):
+            self.quick = None
+            return self._by_file(texts)
+        return [self._by_file([t])[0] if b is None else b for t, b in zip(texts, out, strict=True)]
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", end_id: int = 1, tokens: int = 2048, segments: int = 128, window: int = 256) -> DataFrame:

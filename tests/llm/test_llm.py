@@ -720,18 +720,21 @@ def test_packing_round_trip(spark, corpus):
 
 
 def test_packing_pieces_by_the_tokenizer(corpus):
-    """Cut at spaces and cached, the ids are those of whole texts."""
+    """The quicker library gives the file's ids; where it would not, the file takes over."""
     import public_tokenizers as public
     from tokenizers import Tokenizer
 
     path = public.path("byte_bpe_50k.json")
-    exact, quick = Tokenizer.from_file(path), packing.Tokens(path, kept=500)
+    exact, quick = Tokenizer.from_file(path), packing.Tokens(path)
+    assert quick.quick is not None
     rng = random.Random(21)
     fuzz = ["".join(rng.choices(" \n\t'saé1.,\u3000\xa0\u2028\x1e", k=rng.randint(0, 40))) for _ in range(2000)]
     texts = [*fuzz, *(t or "" for t in corpus[1].values())]
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
         assert [np.frombuffer(b, "<u4").tolist() for b in quick(part)] == [exact.encode(t, add_special_tokens=False).ids for t in part]
+    quick.quick = type("Wrong", (), {"encode_ordinary": lambda self, t: [7]})()
+    assert np.frombuffer(quick(["two words"])[0], "<u4").tolist() == exact.encode("two words", add_special_tokens=False).ids and quick.quick is None
 
 
 def test_packing_segment_limit(spark):

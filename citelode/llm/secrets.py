@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import by_value, plain, small_batches
+from citelode.llm.common import by_value, plain, small_batches, tidy
 
 by_value(__name__)
 
@@ -135,20 +135,22 @@ def all_spans(text: str, table: np.ndarray, threshold: float) -> list[tuple[int,
     """Base spans, and tokens of 20 or more characters with a letter and a digit that the chains call random and
     that touch no base span."""
     out = base_spans(text)
-    more = []
+    more, at, reach = [], 0, 0
     for m in re.finditer(TOKEN, text):
+        while at < len(out) and out[at][0] < m.end():  # tokens and spans both go by their starts
+            reach, at = max(reach, out[at][2]), at + 1
         t = m[0]
-        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and ratio(table, t) >= threshold:
-            if not any(a < m.end() and m.start() < b for a, _, b in out):
-                more.append((m.start(), 3, m.end()))
+        if reach <= m.start() and any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and ratio(table, t) >= threshold:
+            more.append((m.start(), 3, m.end()))
     return sorted(out + more)
 
 
 def scan(df: DataFrame, table: np.ndarray, text: str = "text", threshold: float = THRESHOLD, as_column: str = "found") -> DataFrame:
     """df with a struct column: kinds, starts, ends (arrays of all spans by start, then kind), and the text with each
-    span replaced by <SECRET>; overlapping spans are replaced as one. Null text: no spans, redacted stays null."""
+    span replaced by <SECRET>; overlapping spans are replaced as one. Null text: no spans, redacted stays null. Repeated
+    rows stay; a column named as_column is replaced; an empty df gives no rows."""
     shared = df.sparkSession.sparkContext.broadcast(table)
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 256)
     kind = T.StructType([T.StructField("kinds", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("redacted", T.StringType())])
 
     @F.pandas_udf(kind)
@@ -156,6 +158,7 @@ def scan(df: DataFrame, table: np.ndarray, text: str = "text", threshold: float
         for texts in batches:
             found = [all_spans(t, shared.value, threshold) if t else [] for t in texts]
             yield pd.DataFrame({"kinds": plain([k for _, k, _ in s] for s in found), "starts": plain([a for a, _, _ in s] for s in found), "ends": plain([b for _, _, b in s] for s in found), "redacted": plain(redact(t, s) if s else None for t, s in zip(texts, found, strict=True))})
+        tidy()
 
     return df.withColumn(as_column, udf(F.col(text)))
 

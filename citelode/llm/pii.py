@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
 The fixed patterns give spans of e-mail addresses, IP addresses, payment cards and phone numbers. They are the seeds.
-A pattern is the two words around an identifier-like word (a digit and six or more characters), lower-cased and with
-every run of digits a 9; an instance is the word's own text. Occurrences make a graph of patterns and instances. It is scored
+A pattern is the word before an identifier-like word (a digit and six or more characters), the word after it, or both,
+lower-cased and with every run of digits a 9; an instance is the word's own text. Occurrences make a graph of patterns and
+instances. It is scored
 in rounds until no pattern joins the good ones: a pattern scores the share of its different instances that are known
 (their score), held back by a prior against patterns with few instances; an instance scores the best of its good
 patterns, seeds one. Instances of good patterns become spans of kind ``context`` if a seed anywhere has their shape
@@ -102,19 +103,20 @@ def base_spans(text: Column) -> Column:
 
 #: Words of six or more characters with a digit; what else a word must have is checked after.
 LIKE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]{6,}+"
+NOTHING = "\n"  # no word has it
 ENDS = r"""[.,;:!?"'()\[\]{}<>|]"""
 
 
 def contexts(text: Column, base: Column) -> Column:
-    """Array of (s, e, m, p, f, seed) of identifier-like words: place and text without outer punctuation, pattern, shape,
-    and whether a base span touches the word. Pattern: the words before and after, in lower case and with 9 for every run of
-    digits; the neighbouring identifier-like word is #."""
+    """Array of (s, e, m, p, f, seed) of identifier-like words: place and text without outer punctuation, patterns, shape,
+    and whether a base span touches the word. Patterns: the word before, the word after, both, in lower case and with 9 for
+    every run of digits; a neighbour that is identifier-like itself, or missing, makes none."""
     t = F.coalesce(text, F.lit(""))
 
     def near(gap: Column, last: bool) -> Column:
         flat = F.translate(gap, "\t\n\x0b\f\r", "     ")
         word = F.substring_index(F.rtrim(flat), " ", -1) if last else F.substring_index(F.ltrim(flat), " ", 1)
-        return F.when(F.trim(flat) == "", F.lit("#")).otherwise(F.regexp_replace(F.lower(word), "[0-9]+", "9"))
+        return F.when(F.trim(flat) == "", F.lit(NOTHING)).otherwise(F.regexp_replace(F.lower(word), "[0-9]+", "9"))
 
     def one(x: Column) -> Column:
         left = F.length(x["m"]) - F.length(F.regexp_replace(x["m"], f"^{ENDS}+", ""))
@@ -123,7 +125,9 @@ def contexts(text: Column, base: Column) -> Column:
         s = x["s"] + left
         e = s + F.length(core)
         seed = F.exists(base, lambda b: (b["s"] < e) & (s < b["e"]))
-        return F.struct(s.alias("s"), e.alias("e"), core.alias("m"), F.concat_ws(" ", near(x["l"], True), near(x["r"], False)).alias("p"), shape.alias("f"), seed.alias("seed"))
+        before, after = near(x["l"], True), near(x["r"], False)
+        patterns = F.filter(F.array(F.concat(before, F.lit(" _")), F.concat(F.lit("_ "), after), F.concat(before, F.lit(" _ "), after)), lambda p: ~p.contains(NOTHING))
+        return F.struct(s.alias("s"), e.alias("e"), core.alias("m"), patterns.alias("p"), shape.alias("f"), seed.alias("seed"))
 
     return F.filter(F.transform(found(t, LIKE), one), lambda x: F.length(x["m"]) >= 6)
 
@@ -151,16 +155,17 @@ def confident(edges: DataFrame, rounds: int | None = None, least: float = 0.8, p
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """key, text_hash and spans, an array of (s, k, e) by start, then kind, of every row.
 
-    Null texts have no spans. Rows alike in key and text have the same spans. A null key stays null."""
+    Null texts have no spans. Rows alike in key and text have the same spans. A null key stays null. Extra columns,
+    whatever their names, are ignored. An empty docs gives no rows."""
     rows = docs.select(F.col(key).alias("key"), text_hash(F.col(text)).alias("h"), F.col(text).alias("t"))
     rows = rows.select("*", base_spans(F.col("t")).alias("base"))
     rows = rows.select("key", "h", F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))).alias("base"), contexts(F.col("t"), F.col("base")).alias("c"))
     rows = materialize(rows, "pii-spans")
     seen = rows.where(F.size("c") > 0).select("key", "h", F.explode("c").alias("c")).select("key", "h", "c.*")
-    edges = materialize(seen.groupBy("p", "m").agg(F.max("seed").alias("seed")), "pii-edges")
+    edges = materialize(seen.select(F.explode("p").alias("p"), "m", "seed").groupBy("p", "m").agg(F.max("seed").alias("seed")), "pii-edges")
     good = confident(edges, **limits)
     shapes = seen.where("seed").select("f").distinct()
-    fresh = seen.where(~F.col("seed")).join(good, "p").join(shapes, "f", "left_semi").select("key", "h", F.struct("s", F.lit(len(PATTERNS)).alias("k"), "e").alias("x"))
+    fresh = seen.where(~F.col("seed")).withColumn("p", F.explode("p")).join(good, "p").join(shapes, "f", "left_semi").select("key", "h", F.struct("s", F.lit(len(PATTERNS)).alias("k"), "e").alias("x"))
     more = fresh.groupBy("key", "h").agg(F.collect_set("x").alias("more")).select(F.col("key").alias("_k"), F.col("h").alias("_h"), "more")
     joined = rows.join(more, rows["key"].eqNullSafe(more["_k"]) & (rows["h"] == more["_h"]), "left")
     none = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")

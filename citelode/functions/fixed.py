@@ -3,7 +3,12 @@
 #: Title openings of notices.
 NOTICE_WORDS = ("retraction", "retracted", "withdrawal", "withdrawn", "erratum", "corrigendum")
 #: Keys of names that stand for no name.
-PLACEHOLDERS = ("unknown", "unavailable", "not available", "n/a", "na", "none", "null")
+PLACEHOLDERS = (
+    "unknown", "unavailable", "not available", "not applicable", "not reported", "not provided", "not specified",
+    "none", "null", "n/a", "na",
+    "affiliation unknown", "affiliations unknown", "affliation unknown", "affiliation not provided to ssrn",
+    "no affiliation available", "no affiliations available", "no affiliation given", "no affiliation found",
+)
 #: Roles whose works count as originals.
 ORIGINAL_ROLES = ("original_supported", "unresolved")
 #: Observation windows in years; 0 is the lifetime.

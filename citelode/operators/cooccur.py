@@ -11,7 +11,7 @@ from citelode.operators.ranking import dense_ranks
 def membership(labels: DataFrame, nodes0: DataFrame, nodes1: DataFrame) -> DataFrame:
     """work_id with the sorted, different labels of each level that the dictionaries know. labels: work_id, l0, l1;
     nodes0: l0; nodes1: l1. No label is added from the hierarchy."""
-    a = labels.join(F.broadcast(nodes0.withColumn("ok0", F.lit(True))), "l0", "left").join(F.broadcast(nodes1.withColumn("ok1", F.lit(True))), "l1", "left")  # dictionaries
+    a = labels.join(nodes0.withColumn("ok0", F.lit(True)), "l0", "left").join(nodes1.withColumn("ok1", F.lit(True)), "l1", "left")
     return a.groupBy("work_id").agg(F.array_sort(F.collect_set(F.when(F.col("ok0"), F.col("l0")))).alias("l0s"), F.array_sort(F.collect_set(F.when(F.col("ok1"), F.col("l1")))).alias("l1s"))
 
 
@@ -49,7 +49,7 @@ def matrix(members: DataFrame, nodes0: DataFrame, nodes1: DataFrame, parents: Da
     f1 = nodes1.join(marginals(members, "l1s", "l1"), "l1", "left").fillna(0, ["f_l1"])
     pairs = f1.crossJoin(F.broadcast(f0)).crossJoin(F.broadcast(total))
     pairs = pairs.join(joints(members), ["l1", "l0"], "left").fillna(0, ["f_joint"])
-    tagged = pairs.join(F.broadcast(parents.select("l1", "l0", F.lit(True).alias("is_parent_pair"))), ["l1", "l0"], "left").fillna(False, ["is_parent_pair"])
+    tagged = pairs.join(parents.select("l1", "l0", F.lit(True).alias("is_parent_pair")), ["l1", "l0"], "left").fillna(False, ["is_parent_pair"])
     return tagged.withColumns(metrics(F.col("total"), F.col("f_l0"), F.col("f_l1"), F.col("f_joint")))
 
 
@@ -61,7 +61,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 def audit(labels: DataFrame, nodes0: DataFrame, nodes1: DataFrame) -> DataFrame:
     """Labels that a dictionary lacks, by kind: rows and works."""
-    a = labels.join(F.broadcast(nodes0.withColumn("ok0", F.lit(True))), "l0", "left").join(F.broadcast(nodes1.withColumn("ok1", F.lit(True))), "l1", "left")
+    a = labels.join(nodes0.withColumn("ok0", F.lit(True)), "l0", "left").join(nodes1.withColumn("ok1", F.lit(True)), "l1", "left")
     kind = F.explode(F.array_compact(F.array(F.when(F.col("ok0").isNull(), "unresolved_l0"), F.when(F.col("ok1").isNull(), "unresolved_l1"))))
     return a.select("work_id", kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("work_id").alias("works"))
 

@@ -66,25 +66,40 @@ def citer_masks(edges: DataFrame, snapshot_year: int) -> DataFrame:
 
 
 def annual(edges: DataFrame, snapshot_year: int) -> DataFrame:
-    """work_id, age_year, NF, NB, NR; citation_count straight from the edges; future_related_count from the
-    different citers. Ages without citers have no row."""
+    """work_id, age_year, NF, NB, NR; citation_count straight from the edges; future_related_count, the different citers
+    of the work or of its valid references. Ages without citers have no row. related checks the last by another way."""
     masks = citer_masks(edges, snapshot_year)
     m = F.col("mask")
-    years = masks.groupBy(F.col("focal").alias("work_id"), F.col("age").alias("age_year")).agg(F.count_if(m == 1).alias("NF"), F.count_if(m == 3).alias("NB"), F.count_if(m == 2).alias("NR"), F.count_distinct("citer").alias("future_related_count"))
+    years = masks.groupBy(F.col("focal").alias("work_id"), F.col("age").alias("age_year")).agg(F.count_if(m == 1).alias("NF"), F.count_if(m == 3).alias("NB"), F.count_if(m == 2).alias("NR"), F.count(F.lit(1)).alias("future_related_count"))
     y, z = F.col("citing_year"), F.col("cited_year")
     direct = edges.where((y >= z) & (y <= snapshot_year)).groupBy(F.col("cited").alias("work_id"), (y - z).alias("age_year")).agg(F.count(F.lit(1)).alias("citation_count"))
     out = years.join(direct, ["work_id", "age_year"], "left").withColumn("citation_count", F.coalesce("citation_count", F.lit(0).cast("bigint")))
     return out.select("work_id", "age_year", *COUNTS)
 
 
+def related(edges: DataFrame, snapshot_year: int) -> DataFrame:
+    """work_id, age_year, related: different works of that age that cite the work or one of its valid references, as the
+    union of two sets of pairs; neither masks nor the partition into NF, NB and NR take part."""
+    born = edges.select(F.col("cited").alias("work_id"), F.col("cited_year").alias("born")).unionByName(edges.select(F.col("citing").alias("work_id"), F.col("citing_year").alias("born"))).distinct()
+    hood = edges.select(F.col("cited").alias("work_id"), F.col("cited").alias("member")).unionByName(edges.where(F.col("cited_year") < F.col("citing_year")).select(F.col("citing").alias("work_id"), F.col("cited").alias("member"))).distinct()
+    seen = hood.join(edges.select(F.col("cited").alias("member"), "citing", "citing_year"), "member").where(F.col("citing") != F.col("work_id")).select("work_id", "citing", "citing_year").distinct()
+    aged = seen.join(born, "work_id").where((F.col("citing_year") >= F.col("born")) & (F.col("citing_year") <= snapshot_year))
+    return aged.groupBy("work_id", (F.col("citing_year") - F.col("born")).alias("age_year")).agg(F.count(F.lit(1)).alias("related"))
+
+
 def checks(df: DataFrame) -> DataFrame:
     """The two partition deltas, which are warnings and change nothing."""
     return df.withColumns({"citation_partition_delta": F.col("citation_count") - F.col("NF") - F.col("NB"), "neighborhood_partition_delta": F.col("future_related_count") - F.col("NF") - F.col("NB") - F.col("NR")})
 
 
-def windows(focal: DataFrame, annual: DataFrame, snapshot: str) -> DataFrame:
-    """A row for each work, policy and window. focal: work_id, year, valid (references), raw and, where there
-    is one, stored_delta.
+POLICIES = (("exclude_publication_year", 1), ("include_publication_year", 0))
+LAST_YEAR = 9999  # the last year that a calendar date can have
+
+
+def windows(focal: DataFrame, annual: DataFrame, snapshot: str, only: set[tuple[str, str]] | None = None) -> DataFrame:
+    """A row for each work, policy and window, or for those in only. focal: work_id, year, valid (references), raw
+    and, where there are such, stored_delta, list_unknown (the reference list was not recorded) and is_complete (the
+    graph covers the work's whole record).
 
     exclude counts ages 1 to k, include 0 to k - 1, lifetime to the snapshot. A window is observable if it has begun and
     mature if its last day is past; lifetime has no maturity. Counts are null where the window is not observable or the
@@ -92,22 +107,22 @@ def windows(focal: DataFrame, annual: DataFrame, snapshot: str) -> DataFrame:
     or lifetime windows; the observed scores are there regardless."""
     snap = F.lit(snapshot).cast("date")
     snap_year = F.year(snap)
+    asked = [(policy, start, name, k) for policy, start in POLICIES for name, k in fixed.WINDOWS if only is None or (policy, name) in only]
     sums = {}
-    for policy, start in (("exclude_publication_year", 1), ("include_publication_year", 0)):
-        for name, k in fixed.WINDOWS:
-            inside = (F.col("age_year") >= start) & ((F.col("age_year") < start + k) if k else F.lit(True))
-            for c in COUNTS:
-                sums[(policy, name, c)] = F.sum(F.when(inside, F.col(c)).otherwise(0)).alias(f"{policy}|{name}|{c}")
+    for policy, start, name, k in asked:
+        inside = (F.col("age_year") >= start) & ((F.col("age_year") < start + k) if k else F.lit(True))
+        for c in COUNTS:
+            sums[(policy, name, c)] = F.sum(F.when(inside, F.col(c)).otherwise(0)).alias(f"{policy}|{name}|{c}")
     wide = annual.groupBy("work_id").agg(*sums.values())
     base = focal.join(wide, "work_id", "left")
     zero = F.lit(0).cast("bigint")
     rows = []
-    for policy, start in (("exclude_publication_year", 1), ("include_publication_year", 0)):
-        for name, k in fixed.WINDOWS:
-            counts = [F.coalesce(F.col(f"`{policy}|{name}|{c}`"), zero).alias(c) for c in COUNTS]
-            rows.append(F.struct(F.lit(policy).alias("window_policy"), F.lit(name).alias("window"), F.lit(start).alias("start_age"), F.lit(k).alias("years"), *counts))
+    for policy, start, name, k in asked:
+        counts = [F.coalesce(F.col(f"`{policy}|{name}|{c}`"), zero).alias(c) for c in COUNTS]
+        rows.append(F.struct(F.lit(policy).alias("window_policy"), F.lit(name).alias("window"), F.lit(start).alias("start_age"), F.lit(k).alias("years"), *counts))
     w = base.select(*focal.columns, F.explode(F.array(*rows)).alias("w")).select(*focal.columns, "w.*")
     year, life = F.col("year"), F.col("years") == 0
+    w = w.withColumn("representable", (year + F.col("start_age")).between(1, LAST_YEAR) & (life | (year + F.col("start_age") + F.col("years") - 1 <= LAST_YEAR)))
     w = w.withColumns({
         "planned_start_date": F.make_date(year + F.col("start_age"), F.lit(1), F.lit(1)),
         "planned_end_date": F.when(~life, F.make_date(year + F.col("start_age") + F.col("years") - 1, F.lit(12), F.lit(31))),
@@ -130,11 +145,16 @@ def windows(focal: DataFrame, annual: DataFrame, snapshot: str) -> DataFrame:
 def scores(w: DataFrame, life: Column) -> DataFrame:
     nf, nb, nr = F.col("NF"), F.col("NB"), F.col("NR")
     w = w.withColumns({"disruption_cd_raw_observed": F.try_divide((nf - nb).cast("double"), nf + nb + nr), "disruption_no_nr_raw_observed": F.try_divide((nf - nb).cast("double"), nf + nb)})
-    ok = F.col("observable") & (F.col("valid") > 0) & (life | F.coalesce("is_mature", F.lit(False)))
+    def extra(name: str, otherwise: bool) -> Column:
+        return F.coalesce(F.col(name), F.lit(otherwise)) if name in w.columns else F.lit(otherwise)
+
+    unknown = extra("list_unknown", False)
+    ok = F.col("observable") & (F.col("valid") > 0) & ~unknown & (life | F.coalesce("is_mature", F.lit(False)))
     stored = F.col("stored_delta") != 0 if "stored_delta" in w.columns else F.lit(False)
     named = [
+        (~F.col("representable"), "unrepresentable_window_bounds"),
         (F.col("valid") == 0, "no_references"),
-        (F.col("year").isNull(), "incomplete_record"),
+        (F.col("year").isNull() | ~extra("is_complete", True) | unknown, "incomplete_record"),
         (F.col("is_mature") == F.lit(False), "insufficient_observation_window"),
         (life, "snapshot_limited"),
         (stored, "stored_citation_count_warning"),
@@ -145,7 +165,7 @@ def scores(w: DataFrame, life: Column) -> DataFrame:
         (F.col("future_related_count") != nf + nb + nr, "neighborhood_partition_warning"),
     ]
     flags = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in named]))
-    return w.withColumns({"snapshot_limited": life, "disruption_cd": F.when(ok, F.col("disruption_cd_raw_observed")), "disruption_no_nr": F.when(ok, F.col("disruption_no_nr_raw_observed")), "flags": flags}).drop("start_age", "years", "observable")
+    return w.withColumns({"snapshot_limited": life, "disruption_cd": F.when(ok, F.col("disruption_cd_raw_observed")), "disruption_no_nr": F.when(ok, F.col("disruption_no_nr_raw_observed")), "flags": flags}).drop("start_age", "years", "observable", "representable")
 
 
 def research_view(w: DataFrame, snapshot: str) -> DataFrame:

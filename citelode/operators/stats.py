@@ -62,23 +62,34 @@ def adjusted_difference(rows: DataFrame, strata: list[str], marked: str, value:
     that have both, weighted by the marked."""
     v = rows.where(F.col(value).isNotNull())
     m = F.col(marked)
-    cells = v.groupBy(*strata).agg(F.count_if(m).alias("n1"), F.count_if(~m).alias("n0"), F.avg(F.when(m, F.col(value))).alias("m1"), F.avg(F.when(~m, F.col(value))).alias("m0"))
+    cells = v.groupBy(*strata).agg(F.count_if(m).alias("n1"), F.count_if(~m).alias("n0"), F.sum(F.when(m, F.col(value))).alias("s1"), F.sum(F.when(~m, F.col(value))).alias("s0"))
+    cells = cells.withColumns({"m1": F.try_divide("s1", "n1"), "m0": F.try_divide("s0", "n0")})
     both = (F.col("n1") > 0) & (F.col("n0") > 0)
-    adjusted = cells.agg(F.round(F.try_divide(F.sum(F.when(both, F.col("n1") * (F.col("m1") - F.col("m0")))), F.sum(F.when(both, F.col("n1")))), 9).alias("adjusted"), F.coalesce(F.sum(F.when(both, F.col("n1"))), F.lit(0).cast("bigint")).alias("marked_in_shared_strata"))
-    crude = v.agg(F.round(F.avg(F.when(m, F.col(value))) - F.avg(F.when(~m, F.col(value))), 9).alias("crude"))
-    return crude.crossJoin(F.broadcast(adjusted))
+    crude = F.round(F.try_divide(F.sum("s1"), F.sum("n1")) - F.try_divide(F.sum("s0"), F.sum("n0")), 9).alias("crude")
+    return cells.agg(crude, F.round(F.try_divide(F.sum(F.when(both, F.col("n1") * (F.col("m1") - F.col("m0")))), F.sum(F.when(both, F.col("n1")))), 9).alias("adjusted"), F.coalesce(F.sum(F.when(both, F.col("n1"))), F.lit(0).cast("bigint")).alias("marked_in_shared_strata"))
 
 
 #: The variants of a score: policy, window, least references, least citations, metric.
 VARIANTS = {
-    "main": ("exclude_publication_year", "3y", 1, 0, "disruption_cd"),
-    "five_years": ("exclude_publication_year", "5y", 1, 0, "disruption_cd"),
-    "include_year": ("include_publication_year", "3y", 1, 0, "disruption_cd"),
-    "two_references": ("exclude_publication_year", "3y", 2, 0, "disruption_cd"),
-    "cited": ("exclude_publication_year", "3y", 1, 1, "disruption_cd"),
-    "no_nr": ("exclude_publication_year", "3y", 1, 0, "disruption_no_nr"),
-    "lifetime": ("exclude_publication_year", "lifetime", 1, 0, "disruption_cd"),
+    "main_cd5_r10_c5": ("exclude_publication_year", "5y", 10, 5, "disruption_cd"),
+    "cd5_no_extra_threshold": ("exclude_publication_year", "5y", 1, 0, "disruption_cd"),
+    "cd5_r5_c5": ("exclude_publication_year", "5y", 5, 5, "disruption_cd"),
+    "cd5_r20_c5": ("exclude_publication_year", "5y", 20, 5, "disruption_cd"),
+    "cd5_r10_c0": ("exclude_publication_year", "5y", 10, 0, "disruption_cd"),
+    "cd5_r10_c10": ("exclude_publication_year", "5y", 10, 10, "disruption_cd"),
+    "cd3_r10_c5": ("exclude_publication_year", "3y", 10, 5, "disruption_cd"),
+    "cd10_r10_c5": ("exclude_publication_year", "10y", 10, 5, "disruption_cd"),
+    "cd_lifetime_r10_c5": ("exclude_publication_year", "lifetime", 10, 5, "disruption_cd"),
+    "cd5_include_year_r10_c5": ("include_publication_year", "5y", 10, 5, "disruption_cd"),
+    "no_nr5_r10_c5": ("exclude_publication_year", "5y", 10, 5, "disruption_no_nr"),
 }
+MAIN = "main_cd5_r10_c5"
+
+
+def scaled(variants: dict, by: int) -> dict:
+    """The variants with thresholds divided, for records with fewer references and citations than the thresholds suppose;
+    at least one reference is asked for, and one citation where any was."""
+    return {n: (p, w, max(1, r // by), max(1, c // by) if c else 0, m) for n, (p, w, r, c, m) in variants.items()}
 
 
 def variant_scores(windows: DataFrame, variants: dict = VARIANTS) -> DataFrame:

@@ -141,7 +141,7 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
 @query("r_family_matrix", f"WITH {LAGS}, f AS (SELECT DISTINCT l_orderkey AS work_id, CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE 'unmapped' END AS family FROM lineitem), c AS (SELECT family, publication_year, count(*) AS works FROM lags JOIN f USING (work_id) GROUP BY ALL) SELECT *, sum(works) OVER (PARTITION BY family)::BIGINT AS row_total, works * 100.0::DOUBLE / sum(works) OVER (PARTITION BY family) AS share FROM c")
 def r_family(spark: SparkSession, d: str) -> DataFrame:
     m = T.relation(spark, [("R", "returned"), ("A", "accepted")], "flag string, family string")
-    f = P.lines(spark, d).select("work_id", "flag").join(F.broadcast(m), "flag", "left").select("work_id", F.coalesce("family", F.lit("unmapped")).alias("family")).distinct()
+    f = P.lines(spark, d).select("work_id", "flag").join(m, "flag", "left").select("work_id", F.coalesce("family", F.lit("unmapped")).alias("family")).distinct()
     return counts.matrix(_lags(spark, d).select("work_id", "publication_year").join(f, "work_id"), "family", "publication_year")
 
 
@@ -190,22 +190,38 @@ def p3(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top(q, "n", "source", 10).select("source", "n", F.col("p50").alias("median"), "p90")
 
 
-@query("cohort_partitions", f"WITH {P.ROLES}, b AS (SELECT *, CASE WHEN nation < 8 THEN 'a' WHEN nation < 16 THEN 'b' ELSE 'c' END AS grp FROM elig WHERE eligible) SELECT 'nation_group' AS dimension, grp AS group_id, count(*) FILTER (WHERE is_retracted) AS numerator, count(*) AS denominator FROM b GROUP BY 2 UNION ALL SELECT 'flag_state', coalesce(is_retracted::VARCHAR, 'unknown'), count(*) FILTER (WHERE is_retracted), count(*) FROM b GROUP BY 2")
+PARTITIONS = {"nation_group": "CASE WHEN nation < 8 THEN 'a' WHEN nation < 16 THEN 'b' ELSE 'c' END", "flag_state": "coalesce(is_retracted::VARCHAR, 'unknown')", "team_band": "CASE WHEN coalesce(team, 0) = 0 THEN 'unknown' WHEN team = 1 THEN '1' WHEN team <= 3 THEN '2-3' ELSE '4+' END", "authorship_audit": "CASE WHEN records IS NULL THEN 'no_list' WHEN records = team THEN 'each_once' ELSE 'repeated' END"}
+
+
+@query("cohort_partitions", f"WITH {P.ROLES}, {P.LINES}, t AS (SELECT work_id, count(DISTINCT supplier) AS team, count(*) AS records FROM lines GROUP BY 1), b AS (SELECT * FROM elig LEFT JOIN t USING (work_id) WHERE eligible) " + " UNION ALL ".join(f"SELECT '{n}' AS dimension, {e} AS group_id, count(*) FILTER (WHERE is_retracted) AS numerator, count(*) AS denominator FROM b GROUP BY 2" for n, e in PARTITIONS.items()))
 def cohort_partitions(spark: SparkSession, d: str) -> DataFrame:
-    b = _eligible(spark, d).where("eligible")
-    group = N.band(F.col("nation"), [0, 8, 16], ["a", "b", "c"])
-    pair = F.explode(F.array(F.struct(F.lit("nation_group").alias("dimension"), group.alias("group_id")), F.struct(F.lit("flag_state").alias("dimension"), F.coalesce(F.col("is_retracted").cast("string"), F.lit("unknown")).alias("group_id"))))
+    """Rates over four partitions of the cohort: an access-like group, a state with unknown, bands of the team's size, and
+    whether the list of its members is sound. Suppliers stand for members."""
+    t = P.lines(spark, d).groupBy("work_id").agg(F.count_distinct("supplier").alias("team"), F.count(F.lit(1)).alias("records"))
+    b = _eligible(spark, d).where("eligible").join(t, "work_id", "left")
+    team, records = F.col("team"), F.col("records")
+    groups = {
+        "nation_group": N.band(F.col("nation"), [0, 8, 16], ["a", "b", "c"]),
+        "flag_state": F.coalesce(F.col("is_retracted").cast("string"), F.lit("unknown")),
+        "team_band": F.when(F.coalesce(team, F.lit(0)) == 0, "unknown").when(team == 1, "1").when(team <= 3, "2-3").otherwise("4+"),
+        "authorship_audit": F.when(records.isNull(), "no_list").when(records == team, "each_once").otherwise("repeated"),
+    }
+    pair = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), g.alias("group_id")) for n, g in groups.items()]))
     return b.select("is_retracted", pair.alias("p")).groupBy("p.dimension", "p.group_id").agg(F.count_if(N.is_true(F.col("is_retracted"))).alias("numerator"), F.count(F.lit(1)).alias("denominator"))
 
 
 SERIES = "[" + ", ".join(["count(*)"] + [f"count(*) FILTER (WHERE publication_year = {y})" for y in range(1995, 2002)]) + "]"
 
 
-@query("discipline_explorer", f"WITH {P.WORKS}, {P.LABELS}, m AS (SELECT work_id, l0 AS node FROM labels_ UNION SELECT work_id, l0 || '/' || l1 FROM labels_) SELECT node, {SERIES} AS series FROM m JOIN works USING (work_id) GROUP BY 1")
+@query("discipline_explorer", f"WITH {P.WORKS}, {P.LINES}, p AS (SELECT p_partkey AS part, p_type AS a, p_brand AS b, 'size' || (p_size // 10)::INTEGER AS c, 'size' || p_size AS d FROM part), x AS (SELECT work_id, p.* FROM lines JOIN p USING (part)), m AS (SELECT 'subject' AS tree, work_id, a AS node FROM x UNION SELECT 'subject', work_id, a || '/' || b FROM x UNION SELECT 'topic', work_id, a FROM x UNION SELECT 'topic', work_id, a || '/' || b FROM x UNION SELECT 'topic', work_id, a || '/' || b || '/' || c FROM x UNION SELECT 'topic', work_id, a || '/' || b || '/' || c || '/' || d FROM x UNION SELECT 'concept', work_id, c FROM x UNION SELECT 'concept', work_id, c || '/' || d FROM x UNION SELECT 'concept', work_id, c || '/' || d || '/' || a FROM x) SELECT tree, node, {SERIES} AS series FROM m JOIN works USING (work_id) GROUP BY ALL")
 def discipline_explorer(spark: SparkSession, d: str) -> DataFrame:
-    node = F.explode(F.array(F.col("l0"), F.concat_ws("/", "l0", "l1")))
-    m = P.labels(spark, d).select("work_id", node.alias("node")).distinct().join(P.works(spark, d).select("work_id", "publication_year"), "work_id")
-    return hierarchy.node_series(m, "node", "publication_year", 1995, 2001)
+    """Yearly series of every node of three trees: subjects in two levels, topics in four, concepts in three."""
+    p = T.load(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("a"), F.col("p_brand").alias("b"), F.concat(F.lit("size"), F.floor(F.col("p_size") / 10).cast("string")).alias("c"), F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("d"))
+    levels = {"subject": "ab", "topic": "abcd", "concept": "cda"}
+    paths = [F.struct(F.lit(t).alias("tree"), F.concat_ws("/", *names[: k + 1]).alias("node")) for t, names in levels.items() for k in range(len(names))]
+    m = P.lines(spark, d).select("work_id", "part").join(p, "part").select("work_id", F.explode(F.array(*paths)).alias("m")).distinct()
+    m = m.select("work_id", "m").join(P.works(spark, d).select("work_id", "publication_year"), "work_id")
+    return hierarchy.node_series(m, "m", "publication_year", 1995, 2001).select("m.tree", "m.node", "series")
 
 
 @query("country_explorer", f"WITH {P.ROLES}, {P.NATIONS}, m AS (SELECT DISTINCT work_id, code FROM nations), e AS (SELECT coalesce(code, 'missing') AS code, publication_year, is_retracted FROM elig LEFT JOIN m USING (work_id) WHERE eligible) SELECT code, publication_year, count(*) FILTER (WHERE is_retracted) AS numerator, count(*) AS denominator, count(*) FILTER (WHERE is_retracted) * 10000.0::DOUBLE / count(*) AS value, count(*) >= 100 AND count(*) FILTER (WHERE is_retracted) >= 20 AS ranking_eligible FROM e GROUP BY ALL")
@@ -217,17 +233,18 @@ def country_explorer(spark: SparkSession, d: str) -> DataFrame:
 @query("country_tree", f"WITH {P.NATIONS} SELECT r_name AS region, count(DISTINCT work_id) AS works, count(DISTINCT code) AS nations FROM nations JOIN nation ON code = n_name JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def country_tree(spark: SparkSession, d: str) -> DataFrame:
     tree = T.load(spark, d, "nation").join(T.load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("code"), F.col("r_name").alias("region"))
-    return P.nations(spark, d).join(F.broadcast(tree), "code").groupBy("region").agg(F.count_distinct("work_id").alias("works"), F.count_distinct("code").alias("nations"))
+    return P.nations(spark, d).join(tree, "code").groupBy("region").agg(F.count_distinct("work_id").alias("works"), F.count_distinct("code").alias("nations"))
 
 
-@query("tree_additivity", "SELECT NULL::BIGINT AS parent, 0::BIGINT AS children, 0::BIGINT AS own FROM region WHERE false")
+@query("tree_additivity", "WITH v AS (SELECT n_regionkey AS parent, count(c_custkey) AS children, count(c_custkey) FILTER (WHERE n_regionkey <> 1 OR c_acctbal >= 0) AS own FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) SELECT parent::BIGINT AS parent, children, own FROM v WHERE children <> own")
 def tree_additivity(spark: SparkSession, d: str) -> DataFrame:
-    """Customers by nation and region; a partition, so no parent is off."""
+    """Customers by nation and region; the total of one region is planted wrong, it lacks those in debt."""
     n = T.load(spark, d, "nation")
-    by = T.load(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("v"))
+    c = T.load(spark, d, "customer")
+    by = c.groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("v"), F.count_if(F.col("c_acctbal") >= 0).alias("sound"))
     leaf = n.select((F.col("n_nationkey") + 100).cast("bigint").alias("id"), F.col("n_regionkey").cast("bigint").alias("parent"), F.col("n_nationkey").alias("k"))
-    cells = leaf.join(by, "k", "left").fillna(0, ["v"]).select("id", "parent", "v")
-    top = cells.groupBy(F.col("parent").alias("id")).agg(F.sum("v").alias("v"))
+    cells = leaf.join(by, "k", "left").fillna(0, ["v", "sound"]).select("id", "parent", "v", "sound")
+    top = cells.groupBy(F.col("parent").alias("id")).agg(F.sum(F.when(F.col("parent") == 1, F.col("sound")).otherwise(F.col("v"))).alias("v"))
     nodes = leaf.select("id", "parent").unionByName(top.select("id", F.lit(None).cast("bigint").alias("parent")))
     return hierarchy.additivity(cells.select("id", "v").unionByName(top), nodes, "v")
 

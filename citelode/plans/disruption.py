@@ -12,16 +12,16 @@ from citelode.plans.registry import query
 from citelode.sources import proxies as P
 
 NODES = f"{P.WORKS}, {P.REFERENCES}, nodes AS (SELECT work_id, CASE WHEN work_id % 97 <> 0 THEN publication_year END AS year FROM works)"
-EDGES = f"""{NODES}, edges AS (SELECT DISTINCT citing, cited, a.year AS citing_year, b.year AS cited_year FROM refs JOIN nodes a ON citing = a.work_id JOIN nodes b ON cited = b.work_id WHERE citing <> cited)"""
+EDGES = f"""{NODES}, edges AS MATERIALIZED (SELECT DISTINCT citing, cited, a.year AS citing_year, b.year AS cited_year FROM refs JOIN nodes a ON citing = a.work_id JOIN nodes b ON cited = b.work_id WHERE citing <> cited)"""
 AUDIT = f"""{EDGES}, once AS (SELECT citing, cited, count(*) AS times, cited IN (SELECT work_id FROM nodes) AS known FROM refs GROUP BY ALL),
 raw AS (SELECT citing, sum(times)::BIGINT AS raw, 0::BIGINT AS invalid, sum(times - 1)::BIGINT AS duplicate, count(*) FILTER (WHERE cited = citing) AS self_loop, count(*) FILTER (WHERE cited <> citing AND NOT known) AS dangling FROM once GROUP BY 1),
 kinds AS (SELECT citing, count(*) AS resolved, count(*) FILTER (WHERE cited_year < citing_year) AS valid, count(*) FILTER (WHERE cited_year = citing_year) AS same_year, count(*) FILTER (WHERE cited_year > citing_year) AS future_year, count(*) FILTER (WHERE cited_year IS NULL OR citing_year IS NULL) AS unknown_year FROM edges GROUP BY 1),
 audit AS (SELECT raw.*, coalesce(resolved, 0) AS resolved, coalesce(valid, 0) AS valid, coalesce(same_year, 0) AS same_year, coalesce(future_year, 0) AS future_year, coalesce(unknown_year, 0) AS unknown_year FROM raw LEFT JOIN kinds USING (citing))"""
 ANNUAL = """masks AS (SELECT focal, citer, min(age) AS age, bit_or(m) AS mask FROM (SELECT cited AS focal, citing AS citer, citing_year - cited_year AS age, 1 AS m FROM edges WHERE citing_year >= cited_year AND citing_year <= 2000
   UNION ALL SELECT f.citing, c.citing, c.citing_year - f.citing_year, 2 FROM edges f JOIN edges c ON f.cited = c.cited WHERE f.cited_year < f.citing_year AND c.citing_year >= f.citing_year AND c.citing_year <= 2000 AND c.citing <> f.citing) GROUP BY ALL),
-annual AS (SELECT m.*, coalesce(citation_count, 0) AS citation_count, future_related_count FROM (SELECT focal AS work_id, age::INTEGER AS age_year, count(*) FILTER (WHERE mask = 1) AS NF, count(*) FILTER (WHERE mask = 3) AS NB, count(*) FILTER (WHERE mask = 2) AS NR, count(DISTINCT citer) AS future_related_count FROM masks GROUP BY ALL) m
+annual AS MATERIALIZED (SELECT m.*, coalesce(citation_count, 0) AS citation_count, future_related_count FROM (SELECT focal AS work_id, age::INTEGER AS age_year, count(*) FILTER (WHERE mask = 1) AS NF, count(*) FILTER (WHERE mask = 3) AS NB, count(*) FILTER (WHERE mask = 2) AS NR, count(DISTINCT citer) AS future_related_count FROM masks GROUP BY ALL) m
   LEFT JOIN (SELECT cited AS work_id, citing_year - cited_year AS age_year, count(*) AS citation_count FROM edges WHERE citing_year >= cited_year AND citing_year <= 2000 GROUP BY ALL) d USING (work_id, age_year))"""
-FOCAL = """focal AS (SELECT nodes.*, coalesce(valid, 0) AS valid, coalesce(raw, 0) AS raw, s.stored_count - coalesce(indegree, 0) AS stored_delta FROM nodes LEFT JOIN audit ON citing = work_id LEFT JOIN (SELECT cited AS work_id, count(*) AS indegree FROM edges GROUP BY 1) i USING (work_id) LEFT JOIN (SELECT cited AS work_id, count(*) AS stored_count FROM refs GROUP BY 1) s USING (work_id))"""
+FOCAL = """focal AS MATERIALIZED (SELECT nodes.*, nodes.work_id % 89 = 0 AS list_unknown, coalesce(valid, 0) AS valid, coalesce(raw, 0) AS raw, s.stored_count - coalesce(indegree, 0) AS stored_delta FROM nodes LEFT JOIN audit ON citing = work_id LEFT JOIN (SELECT cited AS work_id, count(*) AS indegree FROM edges GROUP BY 1) i USING (work_id) LEFT JOIN (SELECT cited AS work_id, count(*) AS stored_count FROM refs GROUP BY 1) s USING (work_id))"""
 WINDOWS = f"""{AUDIT}, {ANNUAL}, {FOCAL},
 defs AS (SELECT * FROM (VALUES ('exclude_publication_year', 1), ('include_publication_year', 0)) p(window_policy, start_age), (VALUES ('3y', 3), ('5y', 5), ('10y', 10), ('lifetime', NULL)) w("window", k)),
 wide_ AS (SELECT f.*, window_policy, "window", start_age, k, make_date(year + start_age, 1, 1) AS planned_start_date, CASE WHEN k IS NOT NULL THEN make_date(year + start_age + k - 1, 12, 31) END AS planned_end_date FROM focal f, defs),
@@ -29,7 +29,10 @@ seen AS (SELECT *, coalesce(planned_start_date <= DATE '2000-06-30', false) AS o
 sums AS (SELECT s.work_id, window_policy, "window", sum(NF)::BIGINT AS NF, sum(NB)::BIGINT AS NB, sum(NR)::BIGINT AS NR, sum(citation_count)::BIGINT AS citation_count, sum(future_related_count)::BIGINT AS future_related_count FROM seen s JOIN annual a ON s.work_id = a.work_id AND age_year >= start_age AND (k IS NULL OR age_year < start_age + k) GROUP BY ALL),
 counted AS (SELECT s.*, CASE WHEN observable THEN coalesce(NF, 0) END AS NF, CASE WHEN observable THEN coalesce(NB, 0) END AS NB, CASE WHEN observable THEN coalesce(NR, 0) END AS NR, CASE WHEN observable THEN coalesce(citation_count, 0) END AS citation_count, CASE WHEN observable THEN coalesce(future_related_count, 0) END AS future_related_count,
   planned_end_date <= DATE '2000-06-30' AS is_mature, CASE WHEN observable THEN least(coalesce(planned_end_date, DATE '2000-06-30'), DATE '2000-06-30') END AS observed_end_date FROM seen s LEFT JOIN sums USING (work_id, window_policy, "window")),
-scored AS (SELECT *, (NF - NB)::DOUBLE / nullif(NF + NB + NR, 0) AS cd_raw, (NF - NB)::DOUBLE / nullif(NF + NB, 0) AS no_nr_raw, observable AND valid > 0 AND (k IS NULL OR coalesce(is_mature, false)) AS ok FROM counted)"""
+scored AS MATERIALIZED (SELECT *, (NF - NB)::DOUBLE / nullif(NF + NB + NR, 0) AS cd_raw, (NF - NB)::DOUBLE / nullif(NF + NB, 0) AS no_nr_raw, observable AND valid > 0 AND NOT list_unknown AND (k IS NULL OR coalesce(is_mature, false)) AS ok FROM counted)"""
+FLAGS = """flagged AS (SELECT *, CASE WHEN ok THEN cd_raw END AS cd, CASE WHEN ok THEN no_nr_raw END AS no_nr, CASE WHEN year IS NULL THEN 'unavailable_publication_year' WHEN observable THEN 'complete' ELSE 'unobservable' END AS status,
+  list_filter([CASE WHEN year + start_age > 9999 OR year + start_age + k - 1 > 9999 THEN 'unrepresentable_window_bounds' END, CASE WHEN valid = 0 THEN 'no_references' END, CASE WHEN year IS NULL OR list_unknown THEN 'incomplete_record' END, CASE WHEN is_mature = false THEN 'insufficient_observation_window' END, CASE WHEN k IS NULL THEN 'snapshot_limited' END, CASE WHEN stored_delta <> 0 THEN 'stored_citation_count_warning' END, CASE WHEN citation_count = 0 THEN 'no_future_citations' END, CASE WHEN NF + NB + NR = 0 THEN 'empty_denominator_cd' END, CASE WHEN NF + NB = 0 THEN 'empty_denominator_no_nr' END, CASE WHEN citation_count <> NF + NB THEN 'citation_partition_warning' END, CASE WHEN future_related_count <> NF + NB + NR THEN 'neighborhood_partition_warning' END], lambda x: x IS NOT NULL) AS flags FROM scored)"""
+METRICS = (("NF", "NF"), ("NB", "NB"), ("NR", "NR"), ("citation_count", "citation_count"), ("future_related_count", "future_related_count"), ("is_mature", "is_mature"), ("cd_raw", "disruption_cd_raw_observed"), ("no_nr_raw", "disruption_no_nr_raw_observed"), ("cd", "disruption_cd"), ("no_nr", "disruption_no_nr"), ("flags", "flags"), ("status", "computation_status"))
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -48,11 +51,11 @@ def _annual(spark: SparkSession, d: str) -> DataFrame:
 def _focal(spark: SparkSession, d: str) -> DataFrame:
     nodes, refs, edges = _nodes(spark, d), P.references(spark, d), _edges(spark, d)
     stored = refs.groupBy(F.col("cited").alias("work_id")).agg(F.count(F.lit(1)).alias("stored_count"))
-    return graph.focal_stats(nodes, graph.reference_audit(refs, nodes, edges), edges, stored)
+    return graph.focal_stats(nodes, graph.reference_audit(refs, nodes, edges), edges, stored).withColumn("list_unknown", F.col("work_id") % 89 == 0)
 
 
-def _windows(spark: SparkSession, d: str) -> DataFrame:
-    return graph.windows(_focal(spark, d).select("work_id", "year", "valid", "raw", "stored_delta"), _annual(spark, d), P.CUTOFF)
+def _windows(spark: SparkSession, d: str, only: set[tuple[str, str]] | None = None) -> DataFrame:
+    return graph.windows(_focal(spark, d).select("work_id", "year", "valid", "raw", "stored_delta", "list_unknown"), _annual(spark, d), P.CUTOFF, only)
 
 
 @query("g1_canonical_edges", f"WITH {EDGES} SELECT * FROM edges")
@@ -75,10 +78,13 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
     return _annual(spark, d)
 
 
-@query("g5_partition_checks", f"WITH {EDGES}, {ANNUAL} SELECT count(*) AS buckets, sum(citation_count - NF - NB)::BIGINT AS citation_delta, sum(future_related_count - NF - NB - NR)::BIGINT AS neighborhood_delta FROM annual")
+@query("g5_partition_checks", f"WITH {EDGES}, {ANNUAL}, h AS (SELECT cited AS work_id, cited AS member FROM edges UNION SELECT citing, cited FROM edges WHERE cited_year < citing_year), r AS (SELECT h.work_id, citing_year - n.year AS age_year, count(DISTINCT citing) AS related FROM h JOIN edges ON cited = member JOIN nodes n ON n.work_id = h.work_id WHERE citing <> h.work_id AND citing_year >= n.year AND citing_year <= 2000 GROUP BY ALL) SELECT count(*) AS buckets, sum(abs(coalesce(citation_count, 0) - coalesce(NF + NB, 0)))::BIGINT AS citation_delta, sum(abs(coalesce(related, 0) - coalesce(NF + NB + NR, 0)))::BIGINT AS neighborhood_delta, sum(related)::BIGINT AS related FROM annual FULL JOIN r USING (work_id, age_year)")
 def g5(spark: SparkSession, d: str) -> DataFrame:
-    c = graph.checks(_annual(spark, d))
-    return c.agg(F.count(F.lit(1)).alias("buckets"), F.sum("citation_partition_delta").alias("citation_delta"), F.sum("neighborhood_partition_delta").alias("neighborhood_delta"))
+    """Both sums against counts that come another way; any difference, in either direction, adds to the deltas."""
+    zero = F.lit(0).cast("bigint")
+    j = _annual(spark, d).join(graph.related(_edges(spark, d), P.SNAPSHOT_YEAR), ["work_id", "age_year"], "full_outer")
+    direct, every = F.coalesce(F.col("NF") + F.col("NB"), zero), F.coalesce(F.col("NF") + F.col("NB") + F.col("NR"), zero)
+    return j.agg(F.count(F.lit(1)).alias("buckets"), F.sum(F.abs(F.coalesce("citation_count", zero) - direct)).alias("citation_delta"), F.sum(F.abs(F.coalesce("related", zero) - every)).alias("neighborhood_delta"), F.sum("related").alias("related"))
 
 
 @query("g6_windows", f"""WITH {WINDOWS} SELECT work_id, window_policy, "window", planned_start_date, planned_end_date, observed_end_date, is_mature, CASE WHEN observable THEN start_age END AS observed_age_start, (year(observed_end_date) - year)::INTEGER AS observed_age_end, CASE WHEN year IS NULL THEN 'unavailable_publication_year' WHEN observable THEN 'complete' ELSE 'unobservable' END AS computation_status, NF, NB, NR FROM scored""")
@@ -91,7 +97,7 @@ def g7(spark: SparkSession, d: str) -> DataFrame:
     return _windows(spark, d).select("work_id", "window_policy", "window", "disruption_cd_raw_observed", "disruption_no_nr_raw_observed", "disruption_cd", "disruption_no_nr")
 
 
-@query("g8_window_flags", f"""WITH {WINDOWS}, f AS (SELECT window_policy, "window", unnest(list_filter([CASE WHEN valid = 0 THEN 'no_references' END, CASE WHEN year IS NULL THEN 'incomplete_record' END, CASE WHEN is_mature = false THEN 'insufficient_observation_window' END, CASE WHEN k IS NULL THEN 'snapshot_limited' END, CASE WHEN stored_delta <> 0 THEN 'stored_citation_count_warning' END, CASE WHEN citation_count = 0 THEN 'no_future_citations' END, CASE WHEN NF + NB + NR = 0 THEN 'empty_denominator_cd' END, CASE WHEN NF + NB = 0 THEN 'empty_denominator_no_nr' END], lambda x: x IS NOT NULL)) AS flag FROM scored) SELECT window_policy, "window", flag, count(*) AS rows FROM f GROUP BY ALL""")
+@query("g8_window_flags", f"""WITH {WINDOWS}, {FLAGS}, f AS (SELECT window_policy, "window", unnest(flags) AS flag FROM flagged) SELECT window_policy, "window", flag, count(*) AS rows FROM f GROUP BY ALL""")
 def g8(spark: SparkSession, d: str) -> DataFrame:
     return checks.flag_summary(_windows(spark, d), ["window_policy", "window"], "flags")
 
@@ -101,14 +107,18 @@ def g9(spark: SparkSession, d: str) -> DataFrame:
     return graph.invalid_records(_annual(spark, d), P.SNAPSHOT_YEAR, _nodes(spark, d))
 
 
-@query("g10_research_view", f"""WITH {WINDOWS}, r AS (SELECT *, citation_count IS NOT NULL AND ("window" = 'lifetime' OR coalesce(is_mature, false)) AS can FROM scored) SELECT work_id, window_policy, "window", 2000 - year AS paper_age_at_snapshot, CASE WHEN year IS NOT NULL THEN greatest(0, 1999 - year) END AS complete_years_exclude, CASE WHEN year IS NOT NULL THEN greatest(0, 2000 - year) END AS complete_years_include, valid >= 1 AS has_ref_1, valid >= 5 AS has_ref_5, CASE WHEN can THEN citation_count >= 5 END AS has_citation_5, CASE WHEN can THEN valid >= 5 AND citation_count >= 5 END AS eligible_r5_c5 FROM r""")
+LEVELS = ", ".join([f"valid >= {t} AS has_ref_{t}" for t in (1, 5, 10, 20)] + [f"CASE WHEN can THEN citation_count >= {t} END AS has_citation_{t}" for t in (5, 10, 20)] + [f"CASE WHEN can THEN valid >= {t} AND citation_count >= {t} END AS eligible_r{t}_c{t}" for t in (5, 10, 20)])
+
+
+@query("g10_research_view", f"""WITH {WINDOWS}, r AS (SELECT *, citation_count IS NOT NULL AND ("window" = 'lifetime' OR coalesce(is_mature, false)) AS can FROM scored) SELECT work_id, window_policy, "window", 2000 - year AS paper_age_at_snapshot, CASE WHEN year IS NOT NULL THEN greatest(0, 1999 - year) END AS complete_years_exclude, CASE WHEN year IS NOT NULL THEN greatest(0, 2000 - year) END AS complete_years_include, {LEVELS} FROM r""")
 def g10(spark: SparkSession, d: str) -> DataFrame:
-    return graph.research_view(_windows(spark, d), P.CUTOFF).select("work_id", "window_policy", "window", "paper_age_at_snapshot", "complete_years_exclude", "complete_years_include", "has_ref_1", "has_ref_5", "has_citation_5", "eligible_r5_c5")
+    levels = [f"has_ref_{t}" for t in (1, 5, 10, 20)] + [f"has_citation_{t}" for t in (5, 10, 20)] + [f"eligible_r{t}_c{t}" for t in (5, 10, 20)]
+    return graph.research_view(_windows(spark, d), P.CUTOFF).select("work_id", "window_policy", "window", "paper_age_at_snapshot", "complete_years_exclude", "complete_years_include", *levels)
 
 
-@query("g11_wide_view", f"""WITH {WINDOWS} SELECT work_id, {", ".join(f"max({m}) FILTER (WHERE window_policy = '{p}' AND \"window\" = '{n}') AS {a}_{n}_{p}" for p in ("exclude_publication_year", "include_publication_year") for n in ("3y", "5y", "10y", "lifetime") for m, a in (("NF", "NF"), ("NB", "NB"), ("NR", "NR"), ("cd_raw", "disruption_cd_raw_observed")))} FROM scored GROUP BY 1""")
+@query("g11_wide_view", f"""WITH {WINDOWS}, {FLAGS} SELECT work_id, {", ".join(f"max({m}) FILTER (WHERE window_policy = '{p}' AND \"window\" = '{n}') AS {a}_{n}_{p}" for p in ("exclude_publication_year", "include_publication_year") for n in ("3y", "5y", "10y", "lifetime") for m, a in METRICS)} FROM flagged GROUP BY 1""")
 def g11(spark: SparkSession, d: str) -> DataFrame:
-    return graph.wide(_windows(spark, d), ["NF", "NB", "NR", "disruption_cd_raw_observed"])
+    return graph.wide(_windows(spark, d), [a for _, a in METRICS])
 
 
 @query("g12_age_range", f"""WITH {AUDIT}, {ANNUAL}, {FOCAL}, f AS (SELECT work_id, year, valid, CASE WHEN year <= 2000 THEN 2000 - year END AS observed_age_end FROM focal), g AS (SELECT f.*, sum(NF) AS a, sum(NB) AS b, sum(NR) AS c FROM f LEFT JOIN annual ON f.work_id = annual.work_id AND age_year BETWEEN 1 AND least(4, observed_age_end) GROUP BY ALL), h AS (SELECT *, CASE WHEN observed_age_end >= 1 THEN coalesce(a, 0)::BIGINT END AS NF, CASE WHEN observed_age_end >= 1 THEN coalesce(b, 0)::BIGINT END AS NB, CASE WHEN observed_age_end >= 1 THEN coalesce(c, 0)::BIGINT END AS NR, make_date(year + 4, 12, 31) <= DATE '2000-06-30' AS is_mature FROM g) SELECT work_id, NF, NB, NR, is_mature, (NF - NB)::DOUBLE / nullif(NF + NB + NR, 0) AS disruption_cd_raw_observed, CASE WHEN is_mature AND valid > 0 THEN (NF - NB)::DOUBLE / nullif(NF + NB + NR, 0) END AS disruption_cd FROM h""")
@@ -159,11 +169,26 @@ def _timed(spark: SparkSession, d: str, whole_year: bool = False) -> DataFrame:
     return citations.timed(citations.incoming(w, P.references(spark, d), ev.select(F.col("target").alias("work_id"))), ev, whole_year)
 
 
-@query("c3_edge_timing", f"WITH {INCOMING} SELECT 'reported' AS variant, CASE WHEN hi < event_date THEN 'before' WHEN lo > event_date THEN 'after' ELSE 'ambiguous' END AS state, count(*) AS edges FROM timed GROUP BY 2 UNION ALL SELECT 'whole_year', CASE WHEN make_date(year, 12, 31) < event_date THEN 'before' WHEN make_date(year, 1, 1) > event_date THEN 'after' ELSE 'ambiguous' END, count(*) FROM timed GROUP BY 2")
+STATE = "CASE WHEN hi < event_date THEN 'before' WHEN lo > event_date THEN 'after' ELSE 'ambiguous' END"
+COARSE = "CASE WHEN year < year(event_date) THEN 'before' WHEN year > year(event_date) THEN 'after' ELSE 'ambiguous' END"
+
+
+@query("c3_edge_timing", f"WITH {INCOMING}, t AS (SELECT timed.*, {STATE} AS state, {COARSE} AS coarse, w.type AS citing_type, f.type AS field FROM timed JOIN works w ON w.work_id = citing JOIN works f ON f.work_id = target) SELECT 'reported' AS variant, 'all' AS field, state, count(*) AS edges FROM t GROUP BY ALL UNION ALL SELECT 'both_as_years', 'all', coarse, count(*) FROM t GROUP BY ALL UNION ALL SELECT 'article_or_review', 'all', state, count(*) FROM t WHERE citing_type IN ('1-URGENT', '2-HIGH') GROUP BY ALL UNION ALL SELECT 'reported', field, state, count(*) FROM t GROUP BY ALL")
 def c3(spark: SparkSession, d: str) -> DataFrame:
-    a = _timed(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("edges")).select(F.lit("reported").alias("variant"), "state", "edges")
-    b = _timed(spark, d, whole_year=True).groupBy("state").agg(F.count(F.lit(1)).alias("edges")).select(F.lit("whole_year").alias("variant"), "state", "edges")
-    return a.unionByName(b)
+    """Edges by timing: as dates are reported, with citing work and event as whole years, from articles and reviews (two
+    types of the proxy) alone, and by the target's field."""
+    kinds = P.works(spark, d).select("work_id", "type")
+    t = _timed(spark, d).join(kinds.withColumnsRenamed({"work_id": "citing", "type": "citing_type"}), "citing").join(kinds.withColumnsRenamed({"work_id": "target", "type": "field"}), "target")
+    y, e = F.col("year"), F.year("event_date")
+    coarse = F.when(y < e, "before").when(y > e, "after").otherwise("ambiguous")
+    chosen = F.col("citing_type").isin("1-URGENT", "2-HIGH")
+
+    def case(variant: str, field, state):
+        return F.struct(F.lit(variant).alias("variant"), field.alias("field"), state.alias("state"))
+
+    every = F.lit("all")
+    cases = F.array(case("reported", every, F.col("state")), case("both_as_years", every, coarse), F.when(chosen, case("article_or_review", every, F.col("state"))), case("reported", F.col("field"), F.col("state")))
+    return t.select(F.explode(F.array_compact(cases)).alias("c")).groupBy("c.variant", "c.field", "c.state").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @query("c2_relative_years", f"WITH {INCOMING}, s AS (SELECT target, k, (event_date + to_years(k::INTEGER))::DATE AS a, (event_date + to_years(k::INTEGER + 1))::DATE AS b, publication_date FROM ev, range(-5, 5) r(k)), g AS (SELECT * FROM s WHERE b - 1 <= DATE '2000-06-30' AND publication_date <= a), n AS (SELECT g.target, g.k, count(timed.citing) AS edges FROM g LEFT JOIN timed ON g.target = timed.target AND lo >= a AND hi < b GROUP BY ALL) SELECT k::INTEGER AS year_offset, count(*) AS targets, sum(edges)::BIGINT AS edges, sum(edges)::DOUBLE / count(*) AS mean FROM n GROUP BY 1")

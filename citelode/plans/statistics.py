@@ -38,11 +38,15 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
     return w.select("work_id", F.col("disruption_cd_raw_observed_3y_exclude_publication_year").alias("cd_3y"), F.col("disruption_cd_raw_observed_lifetime_include_publication_year").alias("cd_life"))
 
 
-VARIANT_SQL = f"""{WINDOWS}, scores AS (SELECT work_id, unnest(list_filter([{", ".join(f"CASE WHEN window_policy = '{p}' AND \"window\" = '{w}' AND valid >= {r} AND citation_count >= {c} AND ok THEN {{'variant': '{n}', 'score': {'cd_raw' if m == 'disruption_cd' else 'no_nr_raw'}}} END" for n, (p, w, r, c, m) in stats.VARIANTS.items())}], lambda x: x IS NOT NULL AND x.score IS NOT NULL)) AS v FROM scored)"""
+#: The proxy's works have seven references at most and few citations.
+VARIANTS = stats.scaled(stats.VARIANTS, 5)
+VARIANT_SQL = f"""{WINDOWS}, scores AS (SELECT work_id, unnest(list_filter([{", ".join(f"CASE WHEN window_policy = '{p}' AND \"window\" = '{w}' AND valid >= {r} AND citation_count >= {c} AND ok THEN {{'variant': '{n}', 'score': {'cd_raw' if m == 'disruption_cd' else 'no_nr_raw'}}} END" for n, (p, w, r, c, m) in VARIANTS.items())}], lambda x: x IS NOT NULL AND x.score IS NOT NULL)) AS v FROM scored)"""
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return stats.variant_scores(_windows(spark, d))
+def _scores(spark: SparkSession, d: str, only: str | None = None) -> DataFrame:
+    """Scores of all variants, or of one; windows that no variant asks for are not built."""
+    chosen = {n: v for n, v in VARIANTS.items() if only in (None, n)}
+    return stats.variant_scores(_windows(spark, d, {v[:2] for v in chosen.values()}), chosen)
 
 
 @query("x3_variant_scores", f"WITH {VARIANT_SQL} SELECT work_id, v.variant AS variant, v.score AS score FROM scores")
@@ -64,9 +68,16 @@ def x16(spark: SparkSession, d: str) -> DataFrame:
     return stats.group_summary(_scores(spark, d), ["variant"], "score")
 
 
-@query("x6_strata", f"WITH {VARIANT_SQL} SELECT publication_year, type, count(*) AS n, count(*) FILTER (WHERE is_retracted) AS flagged, round(avg(v.score), 9) AS mean FROM scores JOIN works USING (work_id) WHERE v.variant = 'main' GROUP BY ALL")
+@query("x4_membership", f"WITH {VARIANT_SQL}, g AS (SELECT v.variant AS variant, work_id, l0, l1 FROM scores JOIN labels_ USING (work_id)) SELECT variant, l0, l1, count(DISTINCT work_id) AS works, count(*) AS memberships FROM (SELECT DISTINCT * FROM g) GROUP BY ALL".replace("WITH ", f"WITH {P.LABELS}, ", 1))
+def x4(spark: SparkSession, d: str) -> DataFrame:
+    """Scored works expanded to every pair of labels they have, each pair once."""
+    j = _scores(spark, d).select("variant", "work_id").join(P.labels(spark, d).distinct(), "work_id")
+    return j.groupBy("variant", "l0", "l1").agg(F.count_distinct("work_id").alias("works"), F.count(F.lit(1)).alias("memberships"))
+
+
+@query("x6_strata", f"WITH {VARIANT_SQL} SELECT publication_year, type, count(*) AS n, count(*) FILTER (WHERE is_retracted) AS flagged, round(avg(v.score), 9) AS mean FROM scores JOIN works USING (work_id) WHERE v.variant = '{stats.MAIN}' GROUP BY ALL")
 def x6(spark: SparkSession, d: str) -> DataFrame:
-    j = _scores(spark, d).where("variant = 'main'").join(P.works(spark, d), "work_id")
+    j = _scores(spark, d, stats.MAIN).join(P.works(spark, d), "work_id")
     return j.groupBy("publication_year", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if(N.is_true(F.col("is_retracted"))).alias("flagged"), F.round(F.avg("score"), 9).alias("mean"))
 
 
@@ -113,9 +124,9 @@ def x13(spark: SparkSession, d: str) -> DataFrame:
     return m.select("l0s", F.explode("l1s").alias("l1")).groupBy("l1").agg(F.count(F.lit(1)).alias("child_works"), F.count_if(has).alias("strict_works"), (F.count_if(has) / F.count(F.lit(1))).alias("coverage"))
 
 
-@query("x14_adjusted_difference", f"WITH {VARIANT_SQL}, r AS (SELECT publication_year, type, is_retracted IS TRUE AS marked, v.score AS score FROM scores JOIN works USING (work_id) WHERE v.variant = 'main'), c AS (SELECT publication_year, type, count(*) FILTER (WHERE marked) AS n1, count(*) FILTER (WHERE NOT marked) AS n0, avg(score) FILTER (WHERE marked) AS m1, avg(score) FILTER (WHERE NOT marked) AS m0 FROM r GROUP BY ALL) SELECT (SELECT round(avg(score) FILTER (WHERE marked) - avg(score) FILTER (WHERE NOT marked), 9) FROM r) AS crude, round(sum(n1 * (m1 - m0)) / sum(n1), 9) AS adjusted, sum(n1)::BIGINT AS marked_in_shared_strata FROM c WHERE n1 > 0 AND n0 > 0")
+@query("x14_adjusted_difference", f"WITH {VARIANT_SQL}, r AS (SELECT publication_year, type, is_retracted IS TRUE AS marked, v.score AS score FROM scores JOIN works USING (work_id) WHERE v.variant = '{stats.MAIN}'), c AS (SELECT publication_year, type, count(*) FILTER (WHERE marked) AS n1, count(*) FILTER (WHERE NOT marked) AS n0, avg(score) FILTER (WHERE marked) AS m1, avg(score) FILTER (WHERE NOT marked) AS m0 FROM r GROUP BY ALL) SELECT (SELECT round(avg(score) FILTER (WHERE marked) - avg(score) FILTER (WHERE NOT marked), 9) FROM r) AS crude, round(sum(n1 * (m1 - m0)) / sum(n1), 9) AS adjusted, coalesce(sum(n1), 0)::BIGINT AS marked_in_shared_strata FROM c WHERE n1 > 0 AND n0 > 0")
 def x14(spark: SparkSession, d: str) -> DataFrame:
-    j = _scores(spark, d).where("variant = 'main'").join(P.works(spark, d), "work_id").withColumn("marked", N.is_true(F.col("is_retracted")))
+    j = _scores(spark, d, stats.MAIN).join(P.works(spark, d), "work_id").withColumn("marked", N.is_true(F.col("is_retracted")))
     return stats.adjusted_difference(j, ["publication_year", "type"], "marked", "score")
 
 

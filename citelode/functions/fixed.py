@@ -13,3 +13,5 @@ PLACEHOLDERS = (
 ORIGINAL_ROLES = ("original_supported", "unresolved")
 #: Observation windows in years; 0 is the lifetime.
 WINDOWS = (("3y", 3), ("5y", 5), ("10y", 10), ("lifetime", 0))
+#: Words shown to readers for the names of populations and fields; a name counts where no letter, digit or _ touches it.
+READABLE = {"core_article": "research articles", "core_all": "all works", "primary_topic": "main topic", "root_publisher": "publishing group", "common_5y": "common five-year cohort"}

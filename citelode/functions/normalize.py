@@ -165,3 +165,12 @@ def metric(kind: str, numerator: Column, denominator: Column, total: Column) ->
 def csv_safe(c: Column) -> Column:
     """Text that a spreadsheet would take for a formula gets a leading apostrophe."""
     return F.regexp_replace(c, r"^([=+@\-\t\r])", "'$1")
+
+
+def readable(c: Column, words: dict[str, str]) -> Column:
+    """Names of the dictionary put into words, longest first, where they stand alone: not within a longer name."""
+    import re
+
+    for name in sorted(words, key=len, reverse=True):
+        c = F.regexp_replace(c, rf"(?<![A-Za-z0-9_]){re.escape(name)}(?![A-Za-z0-9_])", words[name])
+    return c

@@ -86,10 +86,10 @@ VARIANTS = {
 MAIN = "main_cd5_r10_c5"
 
 
-def scaled(variants: dict, by: int) -> dict:
-    """The variants with thresholds divided, for records with fewer references and citations than the thresholds suppose;
-    at least one reference is asked for, and one citation where any was."""
-    return {n: (p, w, max(1, r // by), max(1, c // by) if c else 0, m) for n, (p, w, r, c, m) in variants.items()}
+def scaled(variants: dict, by: int, windows: dict[str, str] | None = None) -> dict:
+    """The variants with thresholds divided and windows replaced, for records with fewer references, citations and years
+    than the variants suppose; at least one reference is asked for, and one citation where any was."""
+    return {n: (p, (windows or {}).get(w, w), max(1, r // by), max(1, c // by) if c else 0, m) for n, (p, w, r, c, m) in variants.items()}
 
 
 def variant_scores(windows: DataFrame, variants: dict = VARIANTS) -> DataFrame:

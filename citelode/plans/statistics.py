@@ -38,8 +38,9 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
     return w.select("work_id", F.col("disruption_cd_raw_observed_3y_exclude_publication_year").alias("cd_3y"), F.col("disruption_cd_raw_observed_lifetime_include_publication_year").alias("cd_life"))
 
 
-#: The proxy's works have seven references at most and few citations.
-VARIANTS = stats.scaled(stats.VARIANTS, 5)
+#: The proxy's works have seven references at most, few citations, and six years of publication up to the snapshot, so
+#: that no window of five years is past; three years stand for five.
+VARIANTS = stats.scaled(stats.VARIANTS, 5, {"5y": "3y"})
 VARIANT_SQL = f"""{WINDOWS}, scores AS (SELECT work_id, unnest(list_filter([{", ".join(f"CASE WHEN window_policy = '{p}' AND \"window\" = '{w}' AND valid >= {r} AND citation_count >= {c} AND ok THEN {{'variant': '{n}', 'score': {'cd_raw' if m == 'disruption_cd' else 'no_nr_raw'}}} END" for n, (p, w, r, c, m) in VARIANTS.items())}], lambda x: x IS NOT NULL AND x.score IS NOT NULL)) AS v FROM scored)"""
 
 

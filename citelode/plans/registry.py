@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from citelode.plans import charts, cooccurrence, counting, disruption, joins, scalars, series, statistics, storage  # noqa: F401
+    from citelode.plans import charts, cooccurrence, counting, disruption, joins, legacy, scalars, series, statistics, storage  # noqa: F401

@@ -135,7 +135,8 @@ def p7(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p8_title_notices", "SELECT doc_id, regexp_matches(text, '(?i)^\\s*(the|and|in)\\b') AS notice FROM documents")
 def p8(spark: SparkSession, d: str) -> DataFrame:
-    return T.load(spark, d, "documents").select("doc_id", N.notice_title(F.col("text"), ("the", "and", "in")).alias("notice"))
+    notice = F.when(F.col("text").isNotNull(), N.notice_title(F.col("text"), ("the", "and", "in")))
+    return T.load(spark, d, "documents").select("doc_id", notice.alias("notice"))
 
 
 @query("p10_document_roles", f"WITH {P.ROLES} SELECT document_role, count(*) AS works FROM roles GROUP BY 1")

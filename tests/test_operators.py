@@ -43,6 +43,11 @@ def test_missing_names_and_roles(spark):
     assert [r[0] for r in got] == ["conflict", "known_notice", "original_supported", "suspected_notice", "unresolved"]
 
 
+def test_notice_titles(spark):
+    rows = [("Retraction: x",), (" \n RETRACTED",), ("Erratumé",), ("\x0berratum",), ("erratum2",), ("x erratum",), (None,)]
+    assert [r[0] for r in one(spark, rows, "c string", N.notice_title(F.col("c")))] == [True, True, True, False, False, False, False]
+
+
 def test_rates(spark):
     n, d = F.col("n"), F.col("d")
     got = one(spark, [(0, 0), (0, 1000), (20, 1000)], "n long, d long", N.rate(n, d), N.ranking_eligible(n, d))

@@ -39,6 +39,18 @@ def test_query(spark, duck, name):
     assert a == b
 
 
+def test_title_notices_on_odd_texts(spark, tmp_path):
+    texts = ["Inözust", "Inßbepf", "In\u0301 x", "the\u0660", "and\ufb01", "in\u4e2d", "the\U00010400", "Theß", "in\u200d", "THE", " \t\r\n\f and", "\x0bthe", "\u00a0the", "\u0085the",
+             "the_", "the9", "thea", "and.", "", " ", None, "\u0131n", "\u0130n", "öin", "the", "in-"]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{path}/*.parquet'")
+    want = dict(c.sql(registry.ORACLE_SQL["p8_title_notices"]).fetchall())
+    got = {r["doc_id"]: r["notice"] for r in registry.QUERIES["p8_title_notices"](spark, str(tmp_path)).collect()}
+    assert got == want and want[0] is True and want[11] is False and want[20] is None
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
